@@ -47,7 +47,7 @@ def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
     alive = ~own & (middle - slack <= limit[:, None])
     for i in range(len(qid)):
         at = np.flatnonzero(alive[i])
-        exact = np.sqrt(((c[at] - q[i]) ** 2).sum(1))
+        exact = np.sqrt(np.add.accumulate((c[at] - q[i]) ** 2, axis=1)[:, -1])  # summed in order, as SQL does
         for j in np.lexsort((cid[at], exact))[:k]:
             yield int(qid[i]), int(cid[at[j]]), float(exact[j])
 
