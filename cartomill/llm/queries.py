@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartomill.llm import language, mixing, nearest, secrets, sharding, toxicity
+from cartomill.llm import language, mixing, nearest, quality, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": secrets.op2_secrets,
     "op3_language": language.op3_language,
+    "op4_quality": quality.op4_quality,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_mixing": mixing.op7_mixing,
     "op9_kd_shards": sharding.op9_kd_shards,
