@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,35 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once for a row even where a lambda in body uses it again and again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, mod n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
+#: Broadcast filters hold at most this many bucket numbers, whatever the number of keys.
+FILTER_BUCKETS = 1 << 18
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(13)), F.lit(FILTER_BUCKETS)).alias("_bucket")
+
+
+def having(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose non-null ``key`` is in ``keys``.  A broadcast of bounded size keeps most others out of the shuffle."""
+    few = F.broadcast(keys.select(_bucket(key)).distinct())
+    near = rows.withColumn("_bucket", _bucket(key)).join(few, "_bucket", "left_semi").drop("_bucket")
+    return near.join(keys.select(key).distinct(), key, "left_semi").select(rows.columns)
+
+
+def lacking(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is not in ``keys``, null ones included; only those that may be are shuffled."""
+    few = F.broadcast(keys.select(_bucket(key)).distinct())
+    marked = rows.withColumn("_bucket", _bucket(key))
+    far = marked.join(few, "_bucket", "left_anti").drop("_bucket")
+    near = marked.join(few, "_bucket", "left_semi").drop("_bucket")
+    return far.unionByName(near.join(keys.select(key).distinct(), key, "left_anti").select(rows.columns))

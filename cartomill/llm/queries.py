@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartomill.llm import language, mixing, nearest, quality, secrets, sharding, toxicity
+from cartomill.llm import decontamination, language, mixing, nearest, quality, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": secrets.op2_secrets,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": quality.op4_quality,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_mixing": mixing.op7_mixing,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op9_kd_shards": sharding.op9_kd_shards,
     "op10_nearest": nearest.op10_nearest,
 }

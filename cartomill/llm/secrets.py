@@ -16,7 +16,7 @@ from base64 import b64encode
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartomill.llm.common import table
+from cartomill.llm.common import let, table
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -87,8 +87,9 @@ def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
     """All matches that keep(match, group 2) lets pass, as structs (start, kind, end) in code points."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if pattern is ASSIGN else whole
-    gaps = F.split(text, pattern, -1)
-    each = F.transform(whole, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("len"), keep(m, F.get(inner, i)).alias("ok")))
+    both = F.struct(inner.alias("inner"), F.split(text, pattern, -1).alias("gaps"))
+    one = lambda b, m, i: F.struct(F.length(F.get(b["gaps"], i)).alias("gap"), F.length(m).alias("len"), keep(m, F.get(b["inner"], i)).alias("ok"))
+    each = let(both, lambda b: F.transform(whole, lambda m, i: one(b, m, i)))
     start = F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<struct<s:int,k:int,e:int>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:

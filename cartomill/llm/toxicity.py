@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartomill.llm.chars import TABLE, points
-from cartomill.llm.common import remainder, ship, table
+from cartomill.llm.common import remainder, ship, table, written
 from cartomill.llm.trees import Boosted, boost, isotonic
 
 #: Labelled rows that are fitted on, at most about so many of each class.
@@ -138,12 +138,17 @@ def _stems(rows: DataFrame, totals: tuple[int, int]) -> dict[str, float]:
     return {r["stem"]: r["odds"] for r in best.collect()}
 
 
-def train(labelled: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> Model:
-    """labelled: (doc_id, text, toxic), none null.  Hashes of the id pick the rows and deal them to lexicon, trees and calibration."""
-    ship(labelled.sparkSession)
-    n = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> Model:
+    """docs: (doc_id, text); labels: (doc_id, toxic), one row for each id, both none null.
+
+    Hashes of the id pick the rows and deal them to lexicon, trees and calibration.  Only
+    the picked ids, as many as ``per_class`` allows, are broadcast; texts don't move.
+    """
+    ship(docs.sparkSession)
+    n = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, per_class[1] / max(1, n.get(1, 0)))).otherwise(min(1.0, per_class[0] / max(1, n.get(0, 0))))
-    picked = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_003)) < share * 1_000_003).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(20)))
+    ids = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_003)) < share * 1_000_003).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(20)))
+    picked = docs.where("text is not null").join(F.broadcast(ids), "doc_id")
     base = n.get(1, 0) / max(1, sum(n.values()))
     if len(n) < 2:
         return Model({}, None, None, base)
@@ -194,6 +199,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder(F.col("doc_id"), 3) == 1
-    labels = table(spark, sf_dir, "labels").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = docs.where(~held_out & F.col("text").isNotNull()).join(labels, "doc_id").where("toxic in (0, 1)")
-    return score(docs.select("doc_id", held_out.alias("held_out"), "text"), train(labelled))
+    labels = table(spark, sf_dir, "labels").where("toxic in (0, 1)").where(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return score(docs.select("doc_id", held_out.alias("held_out"), "text"), train(docs, written(labels, "labels")))
