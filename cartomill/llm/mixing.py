@@ -100,6 +100,19 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(small).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it.
+
+    Only ids and sizes are sorted; a document's copies follow from its own values and the
+    prefix sum, so texts are joined once, by id.  Rows that share an id share its copies.
+    """
+    small = written(sized(docs), "mix")
+    plan = mix(small.where("doc_id is not null").dropDuplicates(["doc_id"])).select("doc_id", "copies")
+    rest = docs.where("doc_id is null")
+    often = docs.join(plan.where("copies > 0"), "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    return often.unionByName(rest)
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k,

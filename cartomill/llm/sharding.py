@@ -153,3 +153,8 @@ def numbered(rows: DataFrame, key: str = "doc_id", shards: int = 24) -> DataFram
 def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = numbered(kd_shards(metadata(table(spark, sf_dir, "documents"))))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their size, shard and slot: the last stage.  Copies of a document are numbered apart."""
+    return numbered(kd_shards(metadata(docs))).select("doc_id", "lang", "source", "size", "text_crc32", "shard", "slot")
