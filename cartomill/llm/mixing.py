@@ -18,6 +18,12 @@ from cartomill.llm.common import table, words, written
 
 #: Documents that one key range of a source is meant to hold.
 RANGE_ROWS = 2048
+#: Sources whose cuts are broadcast at most; beyond, they are joined by source.
+BROADCAST_SOURCES = 100_000
+
+
+def _key(doc_id: Column, seed: str) -> Column:
+    return F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
 
 def mix(
@@ -45,7 +51,7 @@ def mix(
         digits += 1
     keyed = sized.withColumns(
         {
-            "_key": F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")),
+            "_key": _key(F.col(id_col), seed),
             "_null": F.col("source").isNull(),
             "_src": F.coalesce(F.col("source"), F.lit("")),
         }
@@ -100,17 +106,26 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(small).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it.
+def cuts(plan: DataFrame, seed: str = "mix") -> DataFrame:
+    """mix()'s decision as one row for each source: copies of its documents up to the key ``last``, and of the others.
 
-    Only ids and sizes are sorted; a document's copies follow from its own values and the
-    prefix sum, so texts are joined once, by id.  Rows that share an id share its copies.
+    The documents taken once more are the first ones of the source's order, so the last of
+    them tells all.
     """
+    order = F.struct(_key(F.col("doc_id"), seed).alias("key"), "doc_id", "size")
+    both = plan.groupBy("source", "copies").agg(F.max(order).alias("last"))
+    return both.groupBy("source").agg(F.max("copies").alias("most"), F.min("copies").alias("least"), F.max_by("last", "copies").alias("last"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it.  Only ids and sizes are sorted; texts don't move."""
     small = written(sized(docs), "mix")
-    plan = mix(small.where("doc_id is not null").dropDuplicates(["doc_id"])).select("doc_id", "copies")
-    rest = docs.where("doc_id is null")
-    often = docs.join(plan.where("copies > 0"), "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
-    return often.unionByName(rest)
+    ends = written(cuts(mix(small)).withColumnRenamed("source", "_source"), "cuts")
+    few = F.broadcast(ends) if ends.count() <= BROADCAST_SOURCES else ends
+    order = F.struct(_key(F.col("doc_id"), "mix").alias("key"), "doc_id", words(F.col("text")).alias("size"))
+    met = docs.join(few, F.col("source").eqNullSafe(F.col("_source")))
+    often = met.withColumn("_n", F.when(order <= F.col("last"), F.col("most")).otherwise(F.col("least"))).where("_n > 0")
+    return often.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
 
 
 OP7_SQL = r"""
