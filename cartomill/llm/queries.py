@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartomill.llm import decontamination, dedup, language, mixing, nearest, quality, secrets, sharding, toxicity
+from cartomill.llm import decontamination, dedup, language, mixing, nearest, quality, scoring, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": dedup.op1_near_duplicates,
     "op2_secrets": secrets.op2_secrets,
     "op3_language": language.op3_language,
     "op4_quality": quality.op4_quality,
+    "op5_lm_scores": scoring.op5_lm_scores,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_mixing": mixing.op7_mixing,
     "op8_decontamination": decontamination.op8_decontamination,
