@@ -5,9 +5,10 @@
 2. Each text is sampled and banded.  Equal texts are one node.
 3. Within each bucket (texts that share a band) every text is compared with the
    bucket's pivot.  A few rounds with other pivots follow where a bucket still
-   holds several components, and at last the pairs between components, except
-   those that the weights or the triangle inequality of the weighted Jaccard
-   distance rule out.  Each compared pair is verified on the whole texts.
+   holds several components, and at last the pairs between components.  Texts
+   too much of which no other member has, and pairs that the weights or the
+   triangle inequality of the weighted Jaccard distance rule out, are spared.
+   Each compared pair is verified on the whole texts.
 4. Links of similarity SIMILAR and above form classes.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cartomill.llm.common import having, lacking, ship, table, written
 from cartomill.llm.components import components
-from cartomill.llm.minhash import FREQUENT, Hashes, Weights, bands, jaccard, shingles
+from cartomill.llm.minhash import FREQUENT, Weights, bands, jaccard, shingles
 
 SIMILAR = 0.8
 PIVOT_ROUNDS = 3
@@ -35,9 +36,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
 
 
-def _unique(texts: list[str], hashes: Hashes) -> np.ndarray:
+def _unique(texts: pa.Array) -> np.ndarray:
     """Each text's distinct shingles, one text behind the other."""
-    return np.concatenate([np.unique(shingles(t, hashes)) for t in texts]) if texts else np.zeros(0, np.uint64)
+    return np.concatenate([np.zeros(0, np.uint64), *[np.unique(x) for x in shingles(texts)]])
 
 
 def weights(texts: DataFrame) -> Weights:
@@ -51,11 +52,9 @@ def weights(texts: DataFrame) -> Weights:
     ship(texts.sparkSession)
 
     def batch_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for b in batches:
-            rows = b.column(0).to_pylist()
-            s, n = np.unique(_unique(rows, hashes), return_counts=True)
-            keep = n >= max(1, int(FREQUENT * len(rows) / 2))
+            s, n = np.unique(_unique(b.column(0)), return_counts=True)
+            keep = n >= max(1, int(FREQUENT * b.num_rows / 2))
             yield pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), pa.array(n[keep])], ["s", "n"])
 
     total = texts.count()
@@ -65,10 +64,10 @@ def weights(texts: DataFrame) -> Weights:
     held = texts.sparkSession.sparkContext.broadcast(candidates)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, hashes = held.value, Hashes()
+        c = held.value
         n = np.zeros(len(c), np.int64)
         for b in batches:
-            s = _unique(b.column(0).to_pylist(), hashes)
+            s = _unique(b.column(0))
             if len(c) and len(s):
                 i = np.minimum(np.searchsorted(c, s), len(c) - 1)
                 n += np.bincount(i[c[i] == s], minlength=len(c))
@@ -88,12 +87,11 @@ def _longs(df: DataFrame) -> np.ndarray:
 
 def _banded(keyed: DataFrame, model) -> DataFrame:
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, hashes = model.value, Hashes()
+        w = model.value
         for b in batches:
-            texts = b.column("text").to_pylist()
             total, keys = [], []
-            for i in range(0, len(texts), 200):
-                bags = [w.bag(t, hashes) for t in texts[i : i + 200]]
+            for i in range(0, b.num_rows, 200):
+                bags = [w.bag(x) for x in shingles(b.column("text").slice(i, 200))]
                 total += [float(x[1].sum(dtype=np.float64)) for x in bags]
                 keys += [k.tolist() for k in bands(bags)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(total, pa.float64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "key", "weight", "bands"])
@@ -115,15 +113,15 @@ def _verified(pairs: DataFrame, keyed: DataFrame, model) -> DataFrame:
     others = dealt.join(texts, "key").select("p", "chunk", "key", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, hashes, own, bag = model.value, Hashes(), None, None
+        w, own, bag = model.value, None, None
         for b in batches:
             out = []
-            for p, key, text in zip(b.column("p").to_pylist(), b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for p, key, x in zip(b.column("p").to_pylist(), b.column("key").to_pylist(), shingles(b.column("text")), strict=True):
                 if key is None:
-                    own, bag = p, w.bag(text, hashes)
+                    own, bag = p, w.bag(x)
                 else:
                     assert own == p
-                    out.append((p, key, jaccard(bag, w.bag(text, hashes))))
+                    out.append((p, key, jaccard(bag, w.bag(x))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.float64()), strict=True)], ["p", "key", "sim"])
 
@@ -155,7 +153,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         here = written(here.join(mixed, "bucket"), "mixed")
         if here.isEmpty():
             break
-        pairs = _between(here, compared, similar) if last else _to_pivot(here, compared, similar)
+        pairs = _between(_matchable(here, keyed, model, similar), compared, similar) if last else _to_pivot(here, compared, similar)
         sims = _verified(pairs, keyed, model)
         compared = sims if compared is None else written(compared.unionByName(sims), "compared")
         links = compared.where(F.col("sim") >= similar).select(F.col("p").alias("a"), F.col("key").alias("b"))
@@ -168,6 +166,30 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return ids.join(named, "comp").select("doc_id", "class_id", "class_size").unionByName(alone)
 
 
+def _matchable(here: DataFrame, keyed: DataFrame, model, similar: float) -> DataFrame:
+    """Members that may have a partner at all: at least ``similar`` of their weight is in shingles that another member has.
+
+    Two texts' similarity is at most the weight of what they share over either's weight, so no
+    link is lost.  Members that go may leave others without a partner: a second look follows.
+    """
+    texts = having(keyed.select("key", "text"), here.select("key").distinct(), "key").dropDuplicates(["key"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = model.value
+        for b in batches:
+            for key, x in zip(b.column("key").to_pylist(), shingles(b.column("text")), strict=True):
+                s, v = w.bag(x)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(s), pa.binary()), pa.array(s.view(np.int64)), pa.array(v.astype(np.float64))], ["key", "s", "w"])
+
+    left = written(texts.mapInArrow(spread, "key binary, s long, w double"), "shingles")
+    for _ in range(2):
+        common = left.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s")
+        held = left.join(common, "s", "left_semi").groupBy("key").agg(F.sum("w").alias("held"))
+        stay = written(held.join(here.groupBy("key").agg(F.first("weight").alias("weight")), "key").where(F.col("held") >= similar * F.col("weight") * (1 - 1e-6)).select("key"), "stay")
+        left = left.join(stay, "key", "left_semi")
+    return here.join(stay, "key", "left_semi")
+
+
 def _alike(similar: float):
     """Weights that allow the similarity."""
     return F.least("weight", "p_weight") >= similar * F.greatest("weight", "p_weight") * (1 - 1e-6)

@@ -5,26 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 
 SHINGLE = 5
 BANDS, ROWS = 12, 4
 #: Shingles in at most this share of all documents have the largest weight; only those above it are looked up.
 FREQUENT = 0.01
+#: Bytes of text that are worked on at once.
+BYTES = 1 << 20
 _U64 = np.uint64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], _U64)
 
 
-class Hashes(dict):
-    """64-bit hashes of words; forgets all when full."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return out
-
-
 def mixed(z: np.ndarray) -> np.ndarray:
     z = z ^ (z >> _U64(33))
     z *= _U64(0xFF51AFD7ED558CCD)
@@ -34,17 +26,68 @@ def mixed(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def shingles(text: str, hashes: Hashes) -> np.ndarray:
-    """Hash of each run of SHINGLE words; one of all words for a shorter text, none for one without words."""
-    words = text.split()
-    h = np.fromiter(map(hashes.__getitem__, words), _U64, len(words))
-    n = len(h) - SHINGLE + 1
-    if n < 1:
-        return mixed(np.array([(h * _MULTIPLIERS[: len(h)]).sum() + _U64(len(h))], _U64)) if len(h) else h
-    out = h[:n] * _MULTIPLIERS[0]
-    for k in range(1, SHINGLE):
-        out += h[k : k + n] * _MULTIPLIERS[k]
-    return mixed(out)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, _U64), np.ones(1, _U64)]
+
+
+def _powered(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number, and of its inverse mod 2**64."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _powers[k] = np.cumprod(np.concatenate([np.ones(1, _U64), np.full(n - 1, base, _U64)]))
+    return _powers[0][:n], _powers[1][:n]
+
+
+def _words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of texts laid end to end in ``data`` (UTF-8), and how many each has: differences of a running polynomial."""
+    space = _SPACE[data]
+    before = np.empty(len(data) + 1, bool)
+    before[0], before[1:] = True, space
+    after = before[1:].copy()
+    after[:-1] = space[1:]
+    after[-1:] = True
+    cut = ends[:-1]
+    before[cut[cut < len(data)]] = True
+    after[cut[(cut > 0) & (cut <= len(data))] - 1] = True
+    start, end = np.flatnonzero(~space & before[:-1]), np.flatnonzero(~space & after) + 1
+    power, inverse = _powered(len(data))
+    run = np.empty(len(data) + 1, _U64)
+    run[0] = 0
+    np.cumsum((data.astype(_U64) + _U64(1)) * power, out=run[1:])
+    h = (run[end] - run[start]) * inverse[start] + (end - start).astype(_U64)
+    return mixed(h), np.diff(np.searchsorted(start, np.concatenate([[0], ends])))
+
+
+def shingles(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Of each text (none null), the hashes of its runs of SHINGLE words; one of all words for a shorter text, none for one without words.
+
+    Words are runs of bytes other than ASCII white space.  Works on blocks of whole texts.
+    """
+    if not len(texts):
+        return
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BYTES, side="right")) - 1)
+        h, counts = _words(data[offsets[lo] : offsets[hi]], offsets[lo + 1 : hi + 1] - offsets[lo])
+        run = h[: max(0, len(h) - SHINGLE + 1)] * _MULTIPLIERS[0]
+        for k in range(1, SHINGLE):
+            run += h[k : k + len(run)] * _MULTIPLIERS[k]
+        run = mixed(run)
+        at = 0
+        for n in counts.tolist():
+            if n >= SHINGLE:
+                yield run[at : at + n - SHINGLE + 1]
+            else:
+                few = h[at : at + n]
+                yield mixed(np.array([(few * _MULTIPLIERS[:n]).sum() + _U64(n)], _U64)) if n else few
+            at += n
+        lo = hi
 
 
 class Weights:
@@ -55,8 +98,8 @@ class Weights:
         self.at, self.idf = frequent[order], (1 - np.log(np.maximum(shares[order], FREQUENT))).astype(np.float32)
         self.rare = np.float32(1 - np.log(FREQUENT))
 
-    def bag(self, text: str, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
-        s, n = np.unique(shingles(text, hashes), return_counts=True)
+    def bag(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s, n = np.unique(hashes, return_counts=True)
         w = np.full(len(s), self.rare, np.float32)
         if len(self.at) and len(s):
             i = np.minimum(np.searchsorted(self.at, s), len(self.at) - 1)
