@@ -5,10 +5,10 @@
 2. Each text is sampled and banded.  Equal texts are one node.
 3. Within each bucket (texts that share a band) every text is compared with the
    bucket's pivot.  A few rounds with other pivots follow where a bucket still
-   holds several components, and at last the pairs between components.  Texts
-   too much of which no other member has, and pairs that the weights or the
-   triangle inequality of the weighted Jaccard distance rule out, are spared.
-   Each compared pair is verified on the whole texts.
+   holds several components, and at last pairs between components whose rarest
+   shingles meet, except those that the weights or the triangle inequality of
+   the weighted Jaccard distance rule out.  Each compared pair is verified on
+   the whole texts.
 4. Links of similarity SIMILAR and above form classes.
 """
 
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartomill.llm.common import having, lacking, ship, table, written
@@ -153,7 +154,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         here = written(here.join(mixed, "bucket"), "mixed")
         if here.isEmpty():
             break
-        pairs = _between(_matchable(here, keyed, model, similar), compared, similar) if last else _to_pivot(here, compared, similar)
+        pairs = _between(here, _bags(here, keyed, model), compared, similar) if last else _to_pivot(here, compared, similar)
         sims = _verified(pairs, keyed, model)
         compared = sims if compared is None else written(compared.unionByName(sims), "compared")
         links = compared.where(F.col("sim") >= similar).select(F.col("p").alias("a"), F.col("key").alias("b"))
@@ -166,12 +167,8 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return ids.join(named, "comp").select("doc_id", "class_id", "class_size").unionByName(alone)
 
 
-def _matchable(here: DataFrame, keyed: DataFrame, model, similar: float) -> DataFrame:
-    """Members that may have a partner at all: at least ``similar`` of their weight is in shingles that another member has.
-
-    Two texts' similarity is at most the weight of what they share over either's weight, so no
-    link is lost.  Members that go may leave others without a partner: a second look follows.
-    """
+def _bags(here: DataFrame, keyed: DataFrame, model) -> DataFrame:
+    """(key, s, w): shingles and weights of the members."""
     texts = having(keyed.select("key", "text"), here.select("key").distinct(), "key").dropDuplicates(["key"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,13 +178,7 @@ def _matchable(here: DataFrame, keyed: DataFrame, model, similar: float) -> Data
                 s, v = w.bag(x)
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(s), pa.binary()), pa.array(s.view(np.int64)), pa.array(v.astype(np.float64))], ["key", "s", "w"])
 
-    left = written(texts.mapInArrow(spread, "key binary, s long, w double"), "shingles")
-    for _ in range(2):
-        common = left.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s")
-        held = left.join(common, "s", "left_semi").groupBy("key").agg(F.sum("w").alias("held"))
-        stay = written(held.join(here.groupBy("key").agg(F.first("weight").alias("weight")), "key").where(F.col("held") >= similar * F.col("weight") * (1 - 1e-6)).select("key"), "stay")
-        left = left.join(stay, "key", "left_semi")
-    return here.join(stay, "key", "left_semi")
+    return written(texts.mapInArrow(spread, "key binary, s long, w double"), "shingles")
 
 
 def _alike(similar: float):
@@ -204,13 +195,25 @@ def _to_pivot(here: DataFrame, compared: DataFrame | None, similar: float) -> Da
     return here.join(pivot, "bucket").where((F.col("comp") != F.col("p_comp")) & _alike(similar)).select("p", "key")
 
 
-def _between(here: DataFrame, compared: DataFrame, similar: float) -> DataFrame:
-    """Pairs of members of different components that weights and known distances to a common pivot allow."""
-    first = compared.groupBy("key").agg(F.min_by(F.struct("p", "sim"), "p").alias("x")).select("key", F.col("x.p").alias("via"), F.col("x.sim").alias("via_sim"))
-    far = here.join(first, "key", "left").select("bucket", "key", "weight", "comp", "via", "via_sim")
-    other = far.select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("weight", "comp", "via", "via_sim")], F.col("key").alias("p"))
+def _between(here: DataFrame, bags: DataFrame, compared: DataFrame, similar: float) -> DataFrame:
+    """Pairs of members of different components that may be similar, by prefixes: no link is lost.
+
+    Similar texts share at least ``similar`` of either's weight.  With every text's shingles
+    in one order, rarest first, their first common one therefore has at most 1 - ``similar`` of
+    the text's weight before it: only these prefixes are joined.
+    """
+    info = here.groupBy("key").agg(F.first("weight").alias("weight"), F.first("comp").alias("comp"))
+    near = compared.groupBy("key").agg(F.min_by(F.struct("p", "sim"), "p").alias("x")).select("key", F.col("x.p").alias("via"), F.col("x.sim").alias("via_sim"))
+    info = info.join(near, "key", "left")
+    often = bags.groupBy("s").agg(F.count("*").alias("n"))
+    ordered = W.partitionBy("key").orderBy("n", "s").rowsBetween(W.unboundedPreceding, -1)
+    rows = bags.join(often, "s").withColumn("before", F.coalesce(F.sum("w").over(ordered), F.lit(0.0))).join(info, "key")
+    prefix = written(rows.where((F.col("n") > 1) & (F.col("before") <= (1 - similar) * F.col("weight") * (1 + 1e-6))).select("s", "key", "weight", "comp", "via", "via_sim"), "prefix")
+    apart = prefix.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s")
+    mine = prefix.join(apart, "s", "left_semi")
+    other = mine.select("s", *[F.col(c).alias(f"p_{c}") for c in ("weight", "comp", "via", "via_sim")], F.col("key").alias("p"))
     allowed = ~F.coalesce((F.col("via") == F.col("p_via")) & (F.abs(F.col("via_sim") - F.col("p_via_sim")) > 1 - similar + 1e-6), F.lit(False))
-    pairs = far.join(other, "bucket").where((F.col("comp") < F.col("p_comp")) & _alike(similar) & allowed).select("p", "key").distinct()
+    pairs = mine.join(other, (mine["s"] == other["s"]) & (mine["comp"] < other["p_comp"]) & _alike(similar) & allowed).select("p", "key").distinct()
     return pairs.join(compared.select("p", "key"), ["p", "key"], "left_anti").join(compared.select(F.col("p").alias("key"), F.col("key").alias("p")), ["p", "key"], "left_anti")
 
 
