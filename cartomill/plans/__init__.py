@@ -1 +1 @@
-
+"""Composite plans."""

@@ -6,9 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from cartomill.queries import rasters, vectors
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**rasters.QUERIES, **vectors.QUERIES}
+ORACLE_SQL: dict[str, str] = {**rasters.SQL, **vectors.SQL}
