@@ -40,8 +40,11 @@ def _powered(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def _words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of texts laid end to end in ``data`` (UTF-8), and how many each has: differences of a running polynomial."""
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts laid end to end in ``data`` (UTF-8), each word's hash, start and end, and each text's number of words.
+
+    Hashes are differences of a running polynomial.
+    """
     space = _SPACE[data]
     before = np.empty(len(data) + 1, bool)
     before[0], before[1:] = True, space
@@ -57,7 +60,15 @@ def _words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     run[0] = 0
     np.cumsum((data.astype(_U64) + _U64(1)) * power, out=run[1:])
     h = (run[end] - run[start]) * inverse[start] + (end - start).astype(_U64)
-    return mixed(h), np.diff(np.searchsorted(start, np.concatenate([[0], ends])))
+    return mixed(h), start, end, np.diff(np.searchsorted(start, np.concatenate([[0], ends])))
+
+
+def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets (one more than texts) of an Arrow array of strings without nulls."""
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
 def shingles(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -67,14 +78,11 @@ def shingles(texts: pa.Array) -> Iterator[np.ndarray]:
     """
     if not len(texts):
         return
-    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
-    _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    data, offsets = raw(texts)
     lo = 0
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BYTES, side="right")) - 1)
-        h, counts = _words(data[offsets[lo] : offsets[hi]], offsets[lo + 1 : hi + 1] - offsets[lo])
+        h, _, _, counts = word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo + 1 : hi + 1] - offsets[lo])
         run = h[: max(0, len(h) - SHINGLE + 1)] * _MULTIPLIERS[0]
         for k in range(1, SHINGLE):
             run += h[k : k + len(run)] * _MULTIPLIERS[k]
@@ -176,9 +184,27 @@ def _sampled(part: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return key.T.view(np.int64) if key.T.flags.c_contiguous else np.ascontiguousarray(key.T).view(np.int64)
 
 
-def _least(s: np.ndarray, w: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: One-bit samples in a sketch.
+SKETCH = 384
+_SKETCH_SEEDS = mixed(np.arange(1001, 1001 + SKETCH, dtype=_U64) * _U64(0x9E3779B97F4A7C15))
+
+
+def sketch(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """SKETCH / 64 longs (int64), a bit of each of as many samples: two bags' bits agree with probability (1 + similarity) / 2."""
+    s, w = bag
+    bits = []
+    for at in range(0, SKETCH, 48):
+        best = picked = None
+        for k in range(0, max(1, len(s)), BLOCK):
+            b, p = _least(s[k : k + BLOCK], w[k : k + BLOCK], np.zeros(1, np.int64), _SKETCH_SEEDS[at : at + 48])
+            picked, best = (p, b) if best is None else (np.where(b < best, p, picked), np.minimum(b, best))
+        bits.append((mixed(picked[:, 0]) >> _U64(63)).astype(np.uint8))
+    return np.packbits(np.concatenate(bits)).view(np.int64)
+
+
+def _least(s: np.ndarray, w: np.ndarray, starts: np.ndarray, seeds: np.ndarray = _SEEDS) -> tuple[np.ndarray, np.ndarray]:
     """Least value and a 64-bit name of the sample, (samples x bags)."""
-    z = (s[None] ^ _SEEDS[:, None]) * _U64(0x9E3779B97F4A7C15)
+    z = (s[None] ^ seeds[:, None]) * _U64(0x9E3779B97F4A7C15)
     z ^= z >> _U64(32)
     z *= _U64(0xD6E8FEB86659FD93)
     f = z.view(np.uint16).reshape(*z.shape, 4)
