@@ -24,12 +24,16 @@ from pyspark.sql import functions as F
 
 from cartomill.llm.common import having, lacking, ship, table, written
 from cartomill.llm.components import components
-from cartomill.llm.minhash import FREQUENT, Weights, bands, jaccard, shingles
+from cartomill.llm.minhash import FREQUENT, SKETCH, Weights, bands, jaccard, shingles, sketch
 
 SIMILAR = 0.8
 PIVOT_ROUNDS = 3
 #: Texts that are compared with one copy of a pivot's text.
 CHUNK = 64
+#: Shingles of a batch in which they are counted.
+COUNTED = 4_000_000
+#: Pairs between components are spared if their sketches say less than this: over three standard deviations below SIMILAR.
+SKETCHED = 0.705
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -53,10 +57,21 @@ def weights(texts: DataFrame) -> Weights:
     ship(texts.sparkSession)
 
     def batch_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def out() -> pa.RecordBatch:
+            s, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            keep = n >= max(1, int(FREQUENT * rows / 2))
+            return pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), pa.array(n[keep])], ["s", "n"])
+
         for b in batches:
-            s, n = np.unique(_unique(b.column(0)), return_counts=True)
-            keep = n >= max(1, int(FREQUENT * b.num_rows / 2))
-            yield pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), pa.array(n[keep])], ["s", "n"])
+            held.append(_unique(b.column(0)))
+            rows += b.num_rows
+            if sum(map(len, held)) >= COUNTED:
+                yield out()
+                held, rows = [], 0
+        if rows:
+            yield out()
 
     total = texts.count()
     wanted = max(1, int(np.ceil(FREQUENT * total / 2)))
@@ -168,7 +183,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 
 def _bags(here: DataFrame, keyed: DataFrame, model) -> DataFrame:
-    """(key, s, w): shingles and weights of the members."""
+    """(key, s, w, sketch): shingles and weights of the members; in one row of each key, without s, its sketch."""
     texts = having(keyed.select("key", "text"), here.select("key").distinct(), "key").dropDuplicates(["key"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +191,12 @@ def _bags(here: DataFrame, keyed: DataFrame, model) -> DataFrame:
         for b in batches:
             for key, x in zip(b.column("key").to_pylist(), shingles(b.column("text")), strict=True):
                 s, v = w.bag(x)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(s), pa.binary()), pa.array(s.view(np.int64)), pa.array(v.astype(np.float64))], ["key", "s", "w"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key] * (len(s) + 1), pa.binary()), pa.array([None, *s.view(np.int64).tolist()], pa.int64()), pa.array([None, *v.tolist()], pa.float64()), pa.array([sketch((s, v)).tolist()] + [None] * len(s), pa.list_(pa.int64()))],
+                    ["key", "s", "w", "sketch"],
+                )
 
-    return written(texts.mapInArrow(spread, "key binary, s long, w double"), "shingles")
+    return written(texts.mapInArrow(spread, "key binary, s long, w double, sketch array<bigint>"), "shingles")
 
 
 def _alike(similar: float):
@@ -196,24 +214,34 @@ def _to_pivot(here: DataFrame, compared: DataFrame | None, similar: float) -> Da
 
 
 def _between(here: DataFrame, bags: DataFrame, compared: DataFrame, similar: float) -> DataFrame:
-    """Pairs of members of different components that may be similar, by prefixes: no link is lost.
+    """Pairs of members of different components that may be similar, by prefixes.
 
     Similar texts share at least ``similar`` of either's weight.  With every text's shingles
     in one order, rarest first, their first common one therefore has at most 1 - ``similar`` of
-    the text's weight before it: only these prefixes are joined.
+    the text's weight before it: only these prefixes are joined, and each pair meets at its
+    first common shingle.  Pairs whose sketches say far less than ``similar`` are spared, as
+    are those that two known similarities to one pivot rule out.
     """
     info = here.groupBy("key").agg(F.first("weight").alias("weight"), F.first("comp").alias("comp"))
     near = compared.groupBy("key").agg(F.min_by(F.struct("p", "sim"), "p").alias("x")).select("key", F.col("x.p").alias("via"), F.col("x.sim").alias("via_sim"))
-    info = info.join(near, "key", "left")
-    often = bags.groupBy("s").agg(F.count("*").alias("n"))
+    info = info.join(near, "key", "left").join(bags.where("s is null").select("key", "sketch"), "key")
+    rows = bags.where("s is not null").select("key", "s", "w")
+    often = rows.groupBy("s").agg(F.count("*").alias("n"))
     ordered = W.partitionBy("key").orderBy("n", "s").rowsBetween(W.unboundedPreceding, -1)
-    rows = bags.join(often, "s").withColumn("before", F.coalesce(F.sum("w").over(ordered), F.lit(0.0))).join(info, "key")
-    prefix = written(rows.where((F.col("n") > 1) & (F.col("before") <= (1 - similar) * F.col("weight") * (1 + 1e-6))).select("s", "key", "weight", "comp", "via", "via_sim"), "prefix")
+    rows = rows.join(often, "s").withColumn("before", F.coalesce(F.sum("w").over(ordered), F.lit(0.0))).join(info, "key")
+    prefix = written(rows.where((F.col("n") > 1) & (F.col("before") <= (1 - similar) * F.col("weight") * (1 + 1e-6))), "prefix")
     apart = prefix.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s")
-    mine = prefix.join(apart, "s", "left_semi")
-    other = mine.select("s", *[F.col(c).alias(f"p_{c}") for c in ("weight", "comp", "via", "via_sim")], F.col("key").alias("p"))
-    allowed = ~F.coalesce((F.col("via") == F.col("p_via")) & (F.abs(F.col("via_sim") - F.col("p_via_sim")) > 1 - similar + 1e-6), F.lit(False))
-    pairs = mine.join(other, (mine["s"] == other["s"]) & (mine["comp"] < other["p_comp"]) & _alike(similar) & allowed).select("p", "key").distinct()
+    listed = prefix.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "s"))), lambda x: x["s"]).alias("list"))
+    mine = prefix.join(apart, "s", "left_semi").join(listed, "key").drop("n", "w")
+    other = mine.select([F.col(c).alias(f"p_{c}") for c in mine.columns])
+    both, agreed = F.col("weight") + F.col("p_weight"), (1 + SKETCHED) / 2
+    ruled = F.coalesce((F.col("via") == F.col("p_via")) & (F.abs(F.col("via_sim") - F.col("p_via_sim")) > 1 - similar + 1e-6), F.lit(False))
+    shared = similar / (1 + similar) * both * (1 - 1e-6)
+    fits = (F.col("weight") - F.col("before") >= shared) & (F.col("p_weight") - F.col("p_before") >= shared)
+    differ = sum((F.bit_count(F.get("sketch", i).bitwiseXOR(F.get("p_sketch", i))) for i in range(1, SKETCH // 64)), F.bit_count(F.get("sketch", 0).bitwiseXOR(F.get("p_sketch", 0))))
+    first = F.get(F.array_intersect("list", "p_list"), 0) == F.col("s")
+    met = (F.col("s") == F.col("p_s")) & (F.col("comp") < F.col("p_comp")) & _alike(similar) & ~ruled & fits & (differ <= (1 - agreed) * SKETCH) & first
+    pairs = mine.join(other, met).select(F.col("p_key").alias("p"), "key").distinct()
     return pairs.join(compared.select("p", "key"), ["p", "key"], "left_anti").join(compared.select(F.col("p").alias("key"), F.col("key").alias("p")), ["p", "key"], "left_anti")
 
 
