@@ -61,22 +61,22 @@ def mirrored(df: DataFrame, reach: int) -> DataFrame:
         x, last = F.col(c), F.col(n) - 1
         return F.array_compact(F.array(x, F.when(x.between(1, reach), -x), F.when(x.between(last - reach, last - 1), 2 * last - x)))
 
-    return df.withColumn("x", F.explode(at("x", "w"))).withColumn("y", F.explode(at("y", "h")))
+    return df.withColumn("x", F.explode(at("x", "_w"))).withColumn("y", F.explode(at("y", "_h")))
 
 
 def with_size(df: DataFrame) -> DataFrame:
-    """Adds w and h, unless they are there: chains of operators that pad should find them once."""
-    return df if {"w", "h"} <= set(df.columns) else df.join(sizes(df), "map_id")
+    """Adds _w and _h, unless they are there: chains of operators that pad should find them once."""
+    return df if {"_w", "_h"} <= set(df.columns) else df.join(sizes(df).withColumnsRenamed({"w": "_w", "h": "_h"}), "map_id")
 
 
 def inside(df: DataFrame, keep_size: bool = False) -> DataFrame:
-    df = df.where("x >= 0 and y >= 0 and x < w and y < h")
-    return df if keep_size else df.drop("w", "h")
+    df = df.where("x >= 0 and y >= 0 and x < _w and y < _h")
+    return df if keep_size else df.drop("_w", "_h")
 
 
 def box_sum(df: DataFrame, col: str, kx: int, ky: int, out: str) -> DataFrame:
     """Sum over the mirrored kx x ky neighbourhood."""
-    return inside(separable(mirrored(df, max(kx, ky) // 2), col, kx, ky, F.sum, out), "w" in df.columns)
+    return inside(separable(mirrored(df, max(kx, ky) // 2), col, kx, ky, F.sum, out), "_w" in df.columns)
 
 
 def box_mean(df: DataFrame, col: str, kx: int, ky: int, out: str) -> DataFrame:
@@ -85,7 +85,7 @@ def box_mean(df: DataFrame, col: str, kx: int, ky: int, out: str) -> DataFrame:
 
 def weighted(df: DataFrame, col: str, kernel_x: list[int], kernel_y: list[int], out: str) -> DataFrame:
     """Separable integer kernel on the mirrored raster, which must have no gaps."""
-    reach, sized = max(len(kernel_x), len(kernel_y)) // 2, "w" in df.columns
+    reach, sized = max(len(kernel_x), len(kernel_y)) // 2, "_w" in df.columns
     df = mirrored(df, reach)
     for axis, kernel, src in (("x", kernel_x, col), ("y", kernel_y, out)):
         w = W.partitionBy("map_id", "y" if axis == "x" else "x").orderBy(axis)
@@ -106,11 +106,11 @@ def sobel(df: DataFrame, col: str, dx: str = "dx", dy: str = "dy") -> DataFrame:
 def marsh(df: DataFrame, gray: str = "gray", vertical: int = 25, horizontal: int = 25, least: int = 15) -> DataFrame:
     """Stacks of horizontal edges: many strong vertical gradients below each other, and over twice as many as beside each other."""
     df = sobel(with_size(df), gray)
-    df = df.withColumn("_v", (F.abs("dy") > vertical).cast("int")).withColumn("_h", (F.abs("dx") > horizontal).cast("int"))
-    df = box_mean(box_sum(df, "_v", 1, 25, "_vs"), "_vs", 9, 1, "vcount")
-    df = box_mean(box_sum(df, "_h", 25, 1, "_hs"), "_hs", 1, 9, "hcount")
+    df = df.withColumn("_ve", (F.abs("dy") > vertical).cast("int")).withColumn("_he", (F.abs("dx") > horizontal).cast("int"))
+    df = box_mean(box_sum(df, "_ve", 1, 25, "_vs"), "_vs", 9, 1, "vcount")
+    df = box_mean(box_sum(df, "_he", 25, 1, "_hs"), "_hs", 1, 9, "hcount")
     df = df.withColumn("marsh", ((F.col("vcount") > least) & (F.col("vcount") > 2 * F.col("hcount"))).cast("int"))
-    return opening(df, "marsh", 5).drop("_v", "_h", "_vs", "_hs", "w", "h")
+    return opening(df, "marsh", 5).drop("_ve", "_he", "_vs", "_hs", "_w", "_h")
 
 
 def with_hsv(df: DataFrame) -> DataFrame:
@@ -133,9 +133,9 @@ def valid_mask(df: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def border_mask(df: DataFrame, share: float = 0.015) -> DataFrame:
     """Pixels at least trunc(share * side) from each border."""
-    mx, my = (F.lit(share) * F.col("w")).cast("int"), (F.lit(share) * F.col("h")).cast("int")
-    keep = (F.col("x") >= mx) & (F.col("x") < F.col("w") - mx) & (F.col("y") >= my) & (F.col("y") < F.col("h") - my)
-    return df.join(sizes(df), "map_id").withColumn("inner", keep).drop("w", "h")
+    mx, my = (F.lit(share) * F.col("_w")).cast("int"), (F.lit(share) * F.col("_h")).cast("int")
+    keep = (F.col("x") >= mx) & (F.col("x") < F.col("_w") - mx) & (F.col("y") >= my) & (F.col("y") < F.col("_h") - my)
+    return with_size(df).withColumn("inner", keep).drop("_w", "_h")
 
 
 def blank_disks(df: DataFrame, disks: DataFrame, col: str) -> DataFrame:
@@ -169,7 +169,7 @@ def working_scale(w: Column, h: Column, max_side: int) -> Column:
 def rotated(df: DataFrame, quarter_turns: int) -> DataFrame:
     """Counter-clockwise."""
     for _ in range(quarter_turns % 4):
-        df = df.join(sizes(df), "map_id").withColumn("_x", F.col("y")).withColumn("y", F.col("w") - 1 - F.col("x")).withColumn("x", F.col("_x")).drop("_x", "w", "h")
+        df = with_size(df).withColumn("_x", F.col("y")).withColumn("y", F.col("_w") - 1 - F.col("x")).withColumn("x", F.col("_x")).drop("_x", "_w", "_h")
     return df
 
 
