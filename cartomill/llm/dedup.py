@@ -4,7 +4,7 @@
    be in over FREQUENT of them; the others have the same, largest, weight.
 2. Each text is sampled and banded.  Equal texts are one node.
 3. Within each bucket (texts that share a band) every text is compared with the
-   bucket's pivot.  A few rounds with other pivots follow where a bucket still
+   bucket's first pivot.  Rounds with its next pivots follow where a bucket still
    holds several components, and at last pairs between components whose rarest
    shingles meet, except those that the weights or the triangle inequality of
    the weighted Jaccard distance rule out.  Each compared pair is verified on
@@ -124,7 +124,7 @@ def _verified(pairs: DataFrame, keyed: DataFrame, model) -> DataFrame:
     needed = pairs.select(F.col("p").alias("key")).unionByName(pairs.select("key")).distinct()
     texts = written(having(keyed.select("key", "text"), needed, "key").dropDuplicates(["key"]), "texts")
     chunks = pairs.groupBy("p").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    dealt = pairs.join(chunks, "p").withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(3)), F.col("chunks")))
+    dealt = written(pairs.join(chunks, "p").select("p", "key", F.pmod(F.xxhash64("key", F.lit(3)), F.col("chunks")).alias("chunk")), "dealt")
     pivots = dealt.select("p", "chunk").distinct().join(texts.withColumnRenamed("key", "p"), "p").select("p", "chunk", F.lit(None).cast("binary").alias("key"), "text")
     others = dealt.join(texts, "key").select("p", "chunk", "key", "text")
 
@@ -160,16 +160,25 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     nodes = rows.dropDuplicates(["key"])
     in_bucket = nodes.select("key", "weight", F.explode("bands").alias("bucket"))
     shared = in_bucket.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = written(in_bucket.join(shared, "bucket").withColumn("prio", F.xxhash64("key")), "members")
-
-    links = compared = comp = None
-    for last in [False] * PIVOT_ROUNDS + [True]:
-        here = members.withColumn("comp", F.col("key")) if comp is None else members.join(comp, members["key"] == comp["node"], "left").withColumn("comp", F.coalesce("comp", "key")).drop("node")
+    members = written(in_bucket.join(shared, "bucket"), "members")
+    first = F.row_number().over(W.partitionBy("bucket").orderBy("prio", "key"))
+    pivots = members.withColumn("prio", F.xxhash64("key")).withColumn("rank", first).where(F.col("rank") <= PIVOT_ROUNDS).drop("prio")
+    pivots = written(pivots, "pivots")
+
+    compared = comp = None
+    for rank in [*range(1, PIVOT_ROUNDS + 1), None]:
+        here = _placed(members, comp)
+        if rank is None:
+            # every pair with one of the bucket's pivots is settled by now
+            here = here.join(pivots.select("bucket", "key"), ["bucket", "key"], "left_anti")
         mixed = here.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
         here = written(here.join(mixed, "bucket"), "mixed")
         if here.isEmpty():
-            break
-        pairs = _between(here, _bags(here, keyed, model), compared, similar) if last else _to_pivot(here, compared, similar)
+            continue
+        if rank is None:
+            pairs = _between(here, _bags(here, keyed, model), compared, similar)
+        else:
+            pairs = _to_pivot(here, _placed(pivots.where(F.col("rank") == rank), comp), compared, similar)
         sims = _verified(pairs, keyed, model)
         compared = sims if compared is None else written(compared.unionByName(sims), "compared")
         links = compared.where(F.col("sim") >= similar).select(F.col("p").alias("a"), F.col("key").alias("b"))
@@ -204,13 +213,20 @@ def _alike(similar: float):
     return F.least("weight", "p_weight") >= similar * F.greatest("weight", "p_weight") * (1 - 1e-6)
 
 
-def _to_pivot(here: DataFrame, compared: DataFrame | None, similar: float) -> DataFrame:
-    """Pairs of each bucket's pivot with members of other components: the text of least hash that was no pivot of the bucket yet."""
-    new = here
-    if compared is not None:
-        new = here.join(compared.select(F.col("p").alias("key")).distinct(), "key", "left_anti")
-    pivot = new.groupBy("bucket").agg(F.min(F.struct("prio", "key", "weight", "comp")).alias("x")).select("bucket", F.col("x.key").alias("p"), F.col("x.weight").alias("p_weight"), F.col("x.comp").alias("p_comp"))
-    return here.join(pivot, "bucket").where((F.col("comp") != F.col("p_comp")) & _alike(similar)).select("p", "key")
+def _placed(members: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """With each key's component so far."""
+    if comp is None:
+        return members.withColumn("comp", F.col("key"))
+    return members.join(comp, members["key"] == comp["node"], "left").withColumn("comp", F.coalesce("comp", "key")).drop("node")
+
+
+def _to_pivot(here: DataFrame, pivot: DataFrame, compared: DataFrame | None, similar: float) -> DataFrame:
+    """Pairs of each bucket's pivot with members of other components."""
+    p = pivot.select("bucket", F.col("key").alias("p"), F.col("weight").alias("p_weight"), F.col("comp").alias("p_comp"))
+    pairs = here.join(p, "bucket").where((F.col("comp") != F.col("p_comp")) & _alike(similar)).select("p", "key").distinct()
+    if compared is None:
+        return pairs
+    return pairs.join(compared.select("p", "key"), ["p", "key"], "left_anti").join(compared.select(F.col("p").alias("key"), F.col("key").alias("p")), ["p", "key"], "left_anti")
 
 
 def _between(here: DataFrame, bags: DataFrame, compared: DataFrame, similar: float) -> DataFrame:
