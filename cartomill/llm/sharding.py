@@ -34,13 +34,13 @@ SLOT_ROWS = 2048
 class Node:
     leaves: int
     first: int
-    dim: str = ""
+    dim: int = 0
     base: int = 0
     cut: int = 0
     want: float = 0.0
+    leaf: float = 0.0
     below: float = 0.0
-    done: bool = False
-    kids: tuple = ()
+    done: bool = True
 
 
 def metadata(docs: DataFrame) -> DataFrame:
@@ -65,48 +65,38 @@ def _dimensioned(meta: DataFrame) -> DataFrame:
     return meta.join(first, group).select(meta.columns + [F.shiftleft(v, LOW).bitwiseOR(low).alias(f"dim_{k}") for k, v in value.items()])
 
 
-def _pick(open_nodes: list[Node], value) -> Column:
-    """CASE over the number of the node in ``open_nodes``."""
-    out = None
-    for i, n in enumerate(open_nodes):
-        cond = F.col("_node") == i
-        out = F.when(cond, value(n)) if out is None else out.when(cond, value(n))
-    return out
+def _value() -> Column:
+    """The dimension that the row's node is cut in.  Nodes' choices come from a joined table, so all rounds run the same code."""
+    return F.when(F.col("dim") == 0, F.col("dim_lang")).when(F.col("dim") == 1, F.col("dim_source")).otherwise(F.col("dim_bytes"))
 
 
-def _place(root: Node, of: dict[int, int]) -> Column:
-    """The row's node: an expression over the dimensions, nested as the tree is."""
-
-    def walk(n: Node) -> Column:
-        if n.kids:
-            return F.when(F.col(f"dim_{n.dim}") < F.lit(n.cut), walk(n.kids[0])).otherwise(walk(n.kids[1]))
-        return F.lit(of.get(id(n), -1 - n.first))
-
-    return walk(root)
+def _table(rows: DataFrame, values: list[tuple[int, ...]], names: str) -> DataFrame:
+    """As many rows as there are nodes, at most one for each shard."""
+    return F.broadcast(rows.sparkSession.createDataFrame(values, ", ".join(f"{n} long" for n in names.split())))
 
 
 def _cut(rows: DataFrame, nodes: list[Node], width: dict[str, float]) -> None:
     """Finds each node's widest dimension and its cut."""
-    ranges = rows.groupBy("_node").agg(F.sum("size").alias("w"), *[f(f"dim_{d}").alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))])
+    live = rows.where("node >= 0")
+    ranges = live.groupBy("node").agg(F.sum("size").alias("w"), *[f(f"dim_{d}").alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))])
     for r in ranges.collect():
-        n = nodes[r["_node"]]
-        spread = {d: ((r[f"hi_{d}"] >> LOW) - (r[f"lo_{d}"] >> LOW)) / width[d] for d in DIMENSIONS}
-        n.dim = max(DIMENSIONS, key=lambda d: spread[d])
+        n = nodes[r["node"]]
+        spread = [((r[f"hi_{d}"] >> LOW) - (r[f"lo_{d}"] >> LOW)) / width[d] for d in DIMENSIONS]
+        n.dim, n.done = max(range(len(DIMENSIONS)), key=lambda d: spread[d]), False
         n.want, n.leaf = r["w"] * (n.leaves // 2) / n.leaves, r["w"] / n.leaves
-    live = [n for n in nodes if n.dim]
-    for n in nodes:
-        n.dim, n.done = n.dim or DIMENSIONS[0], not n.dim
     above = 62
     for shift in SHIFTS:
-        if not (live := [n for n in live if not n.done]):
+        todo = [(i, n.dim, n.base >> above, above, shift) for i, n in enumerate(nodes) if not n.done]
+        if not todo:
             break
-        key = _pick(nodes, lambda n: F.col(f"dim_{n.dim}"))
-        base = _pick(nodes, lambda n: F.lit(-1 if n.done else n.base >> above))  # noqa: B023
-        bins = rows.withColumn("_key", key).where(F.shiftright("_key", above) == base).groupBy("_node", F.shiftright("_key", shift).alias("bin")).agg(F.sum("size").alias("w")).collect()
+        near = live.join(_table(rows, todo, "node dim base above shift"), "node").withColumn("_key", _value())
+        near = near.where(F.call_function("shiftright", F.col("_key"), F.col("above").cast("int")) == F.col("base"))
+        bins = near.groupBy("node", F.call_function("shiftright", F.col("_key"), F.col("shift").cast("int")).alias("bin")).agg(F.sum("size").alias("w")).collect()
+        found: dict[int, list] = {}
+        for r in sorted(bins, key=lambda r: r["bin"]):
+            found.setdefault(r["node"], []).append(r)
         for i, n in enumerate(nodes):
-            if n.done:
-                continue
-            for r in sorted((r for r in bins if r["_node"] == i), key=lambda r: r["bin"]):
+            for r in found.get(i, ()):
                 if n.below + r["w"] < n.want:
                     n.below += r["w"]
                     continue
@@ -125,19 +115,25 @@ def kd_shards(meta: DataFrame, shards: int = 24) -> DataFrame:
     id's hash, else they stay together.  Fewer rows than shards: some shards stay empty.
     An empty table gives an empty result.
     """
-    rows = written(_dimensioned(meta), "kd")
+    rows = written(_dimensioned(meta).withColumn("node", F.lit(0 if shards > 1 else -1).cast("long")), "kd")
     whole = rows.agg(*[f(f"dim_{d}").alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]).first()
     width = {d: max(1, ((whole[f"hi_{d}"] or 0) >> LOW) - ((whole[f"lo_{d}"] or 0) >> LOW)) for d in DIMENSIONS}
-    root = Node(shards, 0)
-    level = [root] if shards > 1 else []
+    level = [Node(shards, 0)] if shards > 1 else []
     while level:
-        place = _place(root, {id(n): i for i, n in enumerate(level)})
-        _cut(rows.withColumn("_node", place).where("_node >= 0"), level, width)
-        for n in level:
-            half = n.leaves // 2
-            n.kids = (Node(half, n.first), Node(n.leaves - half, n.first + half))
-        level = [k for n in level for k in n.kids if k.leaves > 1]
-    return rows.withColumn("shard", -1 - _place(root, {})).drop(*[f"dim_{d}" for d in DIMENSIONS])
+        _cut(rows, level, width)
+        parents = level
+        kids = [k for n in level for k in (Node(n.leaves // 2, n.first), Node(n.leaves - n.leaves // 2, n.first + n.leaves // 2))]
+        level, number, of = [], 0, []
+        for k in kids:
+            of.append(number if k.leaves > 1 else -1 - k.first)
+            if k.leaves > 1:
+                level.append(k)
+                number += 1
+        values = [(i, n.dim, n.cut, of[2 * i], of[2 * i + 1]) for i, n in enumerate(parents)]
+        side = F.when(F.col("dim").isNull(), F.col("node")).when(_value() < F.col("cut"), F.col("low")).otherwise(F.col("high"))
+        moved = rows.join(_table(rows, values, "node dim cut low high"), "node", "left").withColumn("node", side)
+        rows = written(moved.select(rows.columns), "kd")
+    return rows.withColumn("shard", (-1 - F.col("node")).cast("int")).drop("node", *[f"dim_{d}" for d in DIMENSIONS])
 
 
 def numbered(rows: DataFrame, key: str = "doc_id", shards: int = 24) -> DataFrame:
