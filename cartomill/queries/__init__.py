@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartomill.queries import rasters, routes, vectors
+from cartomill.queries import photos, rasters, routes, vectors
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**rasters.QUERIES, **vectors.QUERIES, **routes.QUERIES}
-ORACLE_SQL: dict[str, str] = {**rasters.SQL, **vectors.SQL, **routes.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**rasters.QUERIES, **vectors.QUERIES, **routes.QUERIES, **photos.QUERIES}
+ORACLE_SQL: dict[str, str] = {**rasters.SQL, **vectors.SQL, **routes.SQL, **photos.SQL}
 
 flagship = routes.flagship
