@@ -194,3 +194,22 @@ def gains(df: DataFrame, percent: int = WHITE_PERCENTILE) -> DataFrame:
 
 def white_balanced(df: DataFrame, percent: int = WHITE_PERCENTILE) -> DataFrame:
     return df.join(gains(df, percent), "map_id").withColumns({c: color.gained(F.col(c), F.col(f"gain_{c}")) for c in "bgr"}).drop("gain_b", "gain_g", "gain_r")
+
+
+def resized(df: DataFrame, cols: list[str], max_side: int) -> DataFrame:
+    """Maps whose longest side exceeds ``max_side``, shrunk to it: means weighted by the area that each pixel shares with the new one.
+
+    New sides are rounded.  Other maps stay as they are.
+    """
+    dims = sizes(df)
+    scale = working_scale(F.col("w"), F.col("h"), max_side)
+    dims = dims.select("map_id", *[(F.col(n) / F.greatest(F.lit(1), F.round(F.col(n) * scale))).alias(f"_f{c}") for c, n in (("x", "w"), ("y", "h"))])
+    df = df.join(dims, "map_id")
+    for c in "xy":
+        lo, hi = F.col(c) / F.col(f"_f{c}"), (F.col(c) + 1) / F.col(f"_f{c}")
+        cells = F.sequence(F.floor(lo + 1e-9), F.ceil(hi - 1e-9) - 1)
+        df = df.withColumns({"_lo": lo, "_hi": hi}).withColumn(f"_{c}", F.explode(cells))
+        df = df.withColumn(f"_w{c}", F.least("_hi", F.col(f"_{c}") + 1.0) - F.greatest("_lo", F.col(f"_{c}").cast("double")))
+    weight = F.col("_wx") * F.col("_wy")
+    out = df.groupBy("map_id", F.col("_y").cast("int").alias("y"), F.col("_x").cast("int").alias("x"))
+    return out.agg(*[(F.sum(F.col(c) * weight) / F.sum(weight)).alias(c) for c in cols])

@@ -16,20 +16,18 @@ from cartomill.storage import written
 def preprocessed(pixels: DataFrame, max_side: int = WORKING_MAX_SIDE) -> dict[str, DataFrame]:
     """pixels (map_id, y, x, b, g, r) and maps (map_id, width, height, scale_to_original, quad_found, mn_line_xs, mn_line_spacing_px).
 
-    Downscaled by whole blocks where the longest side exceeds ``max_side``, made upright if
-    a sheet of paper is found, and white-balanced.
+    Shrunk where the longest side exceeds ``max_side``, made upright if a sheet of paper is
+    found, and white-balanced.
     """
     dims = raster.sizes(pixels)
-    factor = F.ceil(F.greatest("w", "h") / max_side).cast("int")
-    sized = pixels.join(dims.select("map_id", factor.alias("f")), "map_id")
-    small = sized.groupBy("map_id", F.floor(F.col("y") / F.col("f")).cast("int").alias("y"), F.floor(F.col("x") / F.col("f")).cast("int").alias("x")).agg(*[color.half_up(F.avg(c)).alias(c) for c in "bgr"])
+    small = raster.resized(pixels, ["b", "g", "r"], max_side).withColumns({c: color.half_up(F.col(c)) for c in "bgr"})
     small = written(small, "small")
     quads = written(imaging.paper(small), "quads")
     upright = written(raster.with_hsv(imaging.rectified(small, quads)).select("map_id", "y", "x", "b", "g", "r", "gray"), "upright")
     balanced = written(raster.white_balanced(upright).select("map_id", "y", "x", "b", "g", "r"), "balanced")
     north = north_lines(balanced)
     maps = raster.sizes(balanced).select("map_id", F.col("w").alias("width"), F.col("h").alias("height"))
-    maps = maps.join(dims.select("map_id", (1 / factor).alias("scale_to_original")), "map_id").join(quads.select("map_id", F.lit(True).alias("_q")), "map_id", "left").join(north, "map_id", "left")
+    maps = maps.join(dims.select("map_id", raster.working_scale(F.col("w"), F.col("h"), max_side).alias("scale_to_original")), "map_id").join(quads.select("map_id", F.lit(True).alias("_q")), "map_id", "left").join(north, "map_id", "left")
     return {"pixels": balanced, "maps": maps.select("map_id", "width", "height", "scale_to_original", F.coalesce("_q", F.lit(False)).alias("quad_found"), F.coalesce("kept", F.array().cast("array<double>")).alias("mn_line_xs"), F.col("spacing").alias("mn_line_spacing_px"))}
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartomill.functions import geometry as G
-from cartomill.operators import imaging, raster
+from cartomill.operators import drawing, imaging, raster
 from cartomill.queries.data import RASTER, RINGS, mask, pixels, raster as base, rings
+from cartomill.queries.routes import layers, walk
 from cartomill.sources import images
 
 QUERIES, SQL = {}, {}
@@ -58,3 +59,28 @@ def hulls(s, d):
 SELECT map_id, poly_id, NOT crossed AS simple FROM c""")
 def simple(s, d):
     return rings(s, d).select("map_id", "poly_id", imaging.is_simple(F.col("ring").cast(imaging.RING)).alias("simple"))
+
+
+@add("downscale_area", f"""WITH {RASTER}, a AS (SELECT map_id, v, CAST(t.c AS INTEGER) AS tx, y, least((x + 1) / (48 / 20.0::DOUBLE), t.c + 1) - greatest(x / (48 / 20.0::DOUBLE), t.c) AS wx FROM g, range(20) t(c) WHERE (x + 1) / (48 / 20.0::DOUBLE) > t.c + 1e-9 AND x / (48 / 20.0::DOUBLE) < t.c + 1 - 1e-9),
+b AS (SELECT map_id, v, tx, CAST(t.c AS INTEGER) AS ty, wx, least((y + 1) / (32 / 13.0::DOUBLE), t.c + 1) - greatest(y / (32 / 13.0::DOUBLE), t.c) AS wy FROM a, range(13) t(c) WHERE (y + 1) / (32 / 13.0::DOUBLE) > t.c + 1e-9 AND y / (32 / 13.0::DOUBLE) < t.c + 1 - 1e-9)
+SELECT map_id, ty AS y, tx AS x, round(sum(v * wx * wy) / sum(wx * wy), 9) AS v FROM b GROUP BY 1, 2, 3""")
+def shrunk(s, d):
+    return raster.resized(base(s, d).select("map_id", "y", "x", "v"), ["v"], 20).select("map_id", "y", "x", F.round("v", 9).alias("v"))
+
+
+SPOTS = [("m0", 0, 12.0, 9.0, 1.5), ("m1", 0, 2.0, 30.0, 2.0), ("m1", 1, 40.0, 15.5, 1.0)]
+
+
+@add("reading_crops", f"""WITH {RASTER}, c(map_id, seq, cx, cy, r) AS (VALUES {", ".join(str(t) for t in SPOTS)}),
+p AS (SELECT g.map_id, seq, g.y - ceil(cy - 6 * r) AS y0, g.x - ceil(cx - 6 * r) AS x0, CASE WHEN sqrt((g.x - cx) * (g.x - cx) + (g.y - cy) * (g.y - cy)) <= 1.6 * r THEN 0 ELSE v END AS v FROM g JOIN c ON g.map_id = c.map_id AND g.x BETWEEN ceil(cx - 6 * r) AND floor(cx + 6 * r) AND g.y BETWEEN ceil(cy - 6 * r) AND floor(cy + 6 * r))
+SELECT map_id, CAST(seq AS INTEGER) AS seq, CAST(y0 * 3 + i AS INTEGER) AS y, CAST(x0 * 3 + j AS INTEGER) AS x, v FROM p, range(3) a(i), range(3) b(j)""")
+def crops(s, d):
+    spots = s.createDataFrame(SPOTS, "map_id string, seq int, x double, y double, radius double")
+    return drawing.reading_crops(base(s, d), spots, "v")
+
+
+@add("qa_overlay")
+def overlay(s, d):
+    areas, paths = layers(s)
+    spots = s.createDataFrame(SPOTS, "map_id string, seq int, x double, y double, radius double")
+    return drawing.overlay(pixels(s, d), areas, paths.withColumn("role", F.lit("path")), spots, walk(s))
