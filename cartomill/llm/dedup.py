@@ -221,12 +221,13 @@ def _placed(members: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 
 def _to_pivot(here: DataFrame, pivot: DataFrame, compared: DataFrame | None, similar: float) -> DataFrame:
-    """Pairs of each bucket's pivot with members of other components."""
+    """Pairs of each bucket's pivot with members of other components that weren't compared yet."""
     p = pivot.select("bucket", F.col("key").alias("p"), F.col("weight").alias("p_weight"), F.col("comp").alias("p_comp"))
     pairs = here.join(p, "bucket").where((F.col("comp") != F.col("p_comp")) & _alike(similar)).select("p", "key").distinct()
     if compared is None:
         return pairs
-    return pairs.join(compared.select("p", "key"), ["p", "key"], "left_anti").join(compared.select(F.col("p").alias("key"), F.col("key").alias("p")), ["p", "key"], "left_anti")
+    pair = [F.least("p", "key").alias("a"), F.greatest("p", "key").alias("b")]
+    return pairs.select("p", "key", *pair).join(compared.select(*pair), ["a", "b"], "left_anti").select("p", "key")
 
 
 def _between(here: DataFrame, bags: DataFrame, compared: DataFrame, similar: float) -> DataFrame:
@@ -257,8 +258,7 @@ def _between(here: DataFrame, bags: DataFrame, compared: DataFrame, similar: flo
     differ = sum((F.bit_count(F.get("sketch", i).bitwiseXOR(F.get("p_sketch", i))) for i in range(1, SKETCH // 64)), F.bit_count(F.get("sketch", 0).bitwiseXOR(F.get("p_sketch", 0))))
     first = F.get(F.array_intersect("list", "p_list"), 0) == F.col("s")
     met = (F.col("s") == F.col("p_s")) & (F.col("comp") < F.col("p_comp")) & _alike(similar) & ~ruled & fits & (differ <= (1 - agreed) * SKETCH) & first
-    pairs = mine.join(other, met).select(F.col("p_key").alias("p"), "key").distinct()
-    return pairs.join(compared.select("p", "key"), ["p", "key"], "left_anti").join(compared.select(F.col("p").alias("key"), F.col("key").alias("p")), ["p", "key"], "left_anti")
+    return mine.join(other, met).select(F.col("p_key").alias("p"), "key").distinct()
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
