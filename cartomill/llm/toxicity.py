@@ -110,8 +110,6 @@ class Model:
 
 def _stems(rows: DataFrame, totals: tuple[int, int]) -> dict[str, float]:
     """Word stems, and whole words behind a "=", with their log odds; counted in documents, over all of ``rows``."""
-    empty = Words({})
-
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = (Counter(), Counter())
         for b in batches:
@@ -129,7 +127,6 @@ def _stems(rows: DataFrame, totals: tuple[int, int]) -> dict[str, float]:
             part = keys[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([n[0][k] for k in part]), pa.array([n[1][k] for k in part])], ["stem", "clean", "toxic"])
 
-    assert not empty
     least = max(2, totals[1] // 300)
     odds = F.log((F.col("toxic") + 0.2) / (totals[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (totals[0] + 1.0))
     summed = rows.mapInArrow(counted, "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
