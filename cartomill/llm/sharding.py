@@ -72,7 +72,8 @@ def _value() -> Column:
 
 def _table(rows: DataFrame, values: list[tuple[int, ...]], names: str) -> DataFrame:
     """As many rows as there are nodes, at most one for each shard."""
-    return F.broadcast(rows.sparkSession.createDataFrame(values, ", ".join(f"{n} long" for n in names.split())))
+    listed = ", ".join("(" + ", ".join(f"{v}L" for v in row) + ")" for row in values)
+    return F.broadcast(rows.sparkSession.sql(f"SELECT * FROM VALUES {listed} AS t({', '.join(names.split())})"))
 
 
 def _cut(rows: DataFrame, nodes: list[Node], width: dict[str, float]) -> None:
