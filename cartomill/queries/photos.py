@@ -32,8 +32,8 @@ def median(s, d):
 @add("warp_crop")
 def warp(s, d):
     corners = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((10, 5), (29, 5), (29, 19), (10, 19))])
-    quads = s.range(1).select(F.lit("m0").alias("map_id"), corners.alias("quad"))
-    out = imaging.rectified(pixels(s, d).where("map_id = 'm0'"), quads)
+    quads = pixels(s, d).select("map_id").distinct().withColumn("quad", corners)
+    out = imaging.rectified(pixels(s, d), quads)
     return out.select("map_id", "y", "x", "b", "g", "r")
 
 
