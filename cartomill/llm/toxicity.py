@@ -169,9 +169,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_C
     if not 0 < y[grow].sum() < grow.sum():
         return Model(stems, None, None, base)
     trees = boost(x[grow], y[grow])
-    # each class weighs in the calibration as it does among all labelled rows: rows of the rarer class were picked more often
     late = ~grow if 20 <= y[~grow].sum() <= (~grow).sum() - 20 else np.ones(len(y), bool)
-    return Model(stems, trees, isotonic(trees.raw(x[late]), y[late]), base)
+    # each class weighs in the calibration as it does among all labelled rows: rows of the rarer class were picked more often
+    weight = np.where(y[late] == 1, n[1] / max(1, y[late].sum()), n[0] / max(1, (1 - y[late]).sum()))
+    return Model(stems, trees, isotonic(trees.raw(x[late]), y[late], weight=weight), base)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:

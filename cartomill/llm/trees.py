@@ -60,13 +60,14 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate:
     return model
 
 
-def isotonic(score: np.ndarray, y: np.ndarray, smooth: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators; points for linear interpolation.  Each block is drawn to the mean by ``smooth`` rows."""
+def isotonic(score: np.ndarray, y: np.ndarray, smooth: float = 0.5, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators; points for linear interpolation.  Each block is drawn to the weighted mean by ``smooth`` rows of mean weight."""
     order = np.argsort(score, kind="stable")
-    base = float(y.mean())
+    weight = np.ones(len(y)) if weight is None else weight
+    base, smooth = float(np.average(y, weights=weight)), smooth * float(weight.mean())
     blocks: list[list[float]] = []  # sum, weight, first, last
-    for s, v in zip(score[order], y[order], strict=True):
-        blocks.append([float(v), 1.0, float(s), float(s)])
+    for s, v, w in zip(score[order], y[order], weight[order], strict=True):
+        blocks.append([float(v * w), float(w), float(s), float(s)])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             b = blocks.pop()
             blocks[-1] = [blocks[-1][0] + b[0], blocks[-1][1] + b[1], blocks[-1][2], b[3]]
