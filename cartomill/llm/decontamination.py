@@ -5,7 +5,9 @@ that start a sentence) turn into typed placeholders.  Windows of five template
 tokens are hash-joined to the benchmark's.  Where a document holds enough of an
 item's windows, the values in its slots are compared with the item's: each
 value of the item must stand for one value all through.  So re-parameterised
-questions are caught, and passages that only share a form aren't.
+questions are caught, and passages that only share a form aren't.  Capitals tell
+names from words, so a copy in other case has other templates: whole copies are
+also found by windows of the words themselves in lower case.
 """
 
 from __future__ import annotations
@@ -43,6 +45,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), GAP), lambda w: w != "")
 
 
+def folded(text: Column) -> Column:
+    """tokens() of the text in any case; the capital of ß is SS."""
+    return tokens(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
+
+
 def template(text: Column) -> Column:
     """The text with placeholders, token for token."""
     out = F.regexp_replace(text, NUMBER_TOKEN, NUM)
@@ -63,17 +70,32 @@ def _literal(words: Column, at: Column) -> Column:
     return sum((~F.get(words, at + k).startswith("\u0001")).cast("int") for k in range(WINDOW)) >= LITERAL
 
 
+def whole_copies(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Like leaks(), with row: documents that hold all of an item's words one after the other, in whatever case.
+
+    items: (item_id, item_folded), of five words or more.
+    """
+    own = items.select("item_id", F.xxhash64("item_folded").alias("item"), "item_folded").distinct()
+    listed = own.select("item_id", "item", (F.size("item_folded") - (WINDOW - 1)).cast("long").alias("item_windows"), F.posexplode(windows(F.col("item_folded"))).alias("item_at", "hash"))
+    listed = written(listed, "words")
+    held = docs.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(windows(folded(F.col("text")))).alias("at", "hash"))
+    met = held.join(F.broadcast(listed) if listed.count() <= BROADCAST_WINDOWS else listed, "hash").withColumn("shift", F.col("at") - F.col("item_at"))
+    n = met.groupBy("doc_id", "row", "item_id", "item", "item_windows", "shift").agg(F.countDistinct("item_at").alias("windows"))
+    found = n.where("windows = item_windows").groupBy("doc_id", "row", "item_id").agg(F.max("windows").alias("windows"), F.max("item_windows").alias("item_windows"))
+    return found.withColumns({"share": F.lit(1.0), "kind": F.lit("copy")})
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, windows, item_windows, share, kind) for each document and item it holds.
 
     docs: (doc_id, text); benchmark: (item_id, text); both tables may have more columns.
     kind: ``copy`` if all slots hold the item's own values, else ``reparameterised``.  Null
-    and empty texts, and items with fewer than five tokens or without a window of two
-    literal ones, match nothing.  Rows with the same doc_id and text give one result.
+    and empty texts, and items with fewer than five tokens, match nothing; items without a
+    window of two literal tokens match whole copies only.  Rows with the same doc_id and text give one result.
     Windows count once for each item, wherever the document holds them.
     """
     row = F.xxhash64("doc_id", "text").alias("row")
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", tokens(F.col("text")).alias("item_raw"), tokens(template(F.col("text"))).alias("item_words"))
+    items = benchmark.where("item_id is not null and text is not null").select("item_id", tokens(F.col("text")).alias("item_raw"), folded(F.col("text")).alias("item_folded"), tokens(template(F.col("text"))).alias("item_words"))
     items = written(items.where(F.size("item_words") >= WINDOW), "items")
     listed = items.select("item_id", "item_words", F.posexplode(windows(F.col("item_words"))).alias("item_at", "hash")).where(_literal(F.col("item_words"), F.col("item_at")))
     listed = listed.select("item_id", "item_at", "hash").distinct()
@@ -93,9 +115,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     near = near.withColumn("same", F.forall("pairs", lambda p: p["a"] == p["b"]))
     found = near.select("doc_id", "row", "item_id", "item_windows", "same", F.explode("item_ats").alias("item_at"))
     each = found.groupBy("doc_id", "row", "item_id", "item_windows").agg(F.countDistinct("item_at").alias("windows"), F.min("same").alias("same"))
-    return each.where(F.col("windows") >= share * F.col("item_windows")).select(
-        "doc_id", "item_id", "windows", "item_windows", (F.col("windows") / F.col("item_windows")).alias("share"), F.when(F.col("same"), "copy").otherwise("reparameterised").alias("kind")
+    each = each.where(F.col("windows") >= share * F.col("item_windows")).select(
+        "doc_id", "row", "item_id", "windows", "item_windows", (F.col("windows") / F.col("item_windows")).alias("share"), F.when(F.col("same"), "copy").otherwise("reparameterised").alias("kind")
     )
+    each = written(each, "found")
+    copies = whole_copies(docs, items).join(each, ["row", "item_id"], "left_anti")
+    return each.unionByName(copies.select(each.columns)).drop("row")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
