@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartomill import storage
+from cartomill.storage import discard, scratch, written
+
+__all__ = ["discard", "having", "lacking", "join_hot", "let", "perhaps", "remainder", "scratch", "ship", "table", "words", "written"]
+
 #: A word is a run of characters other than the six ASCII white-space ones.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,32 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver found it."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    # rows are whole texts: a batch of 10,000, the default, would take up much memory on either side
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-
+    """storage.ship(), and Arrow batches of whole texts of ARROW_ROWS rows where the session has Spark's default of 10,000.
 
-def scratch(spark: SparkSession) -> str:
-    """The folder all nodes share (spark.checkpoint.dir); a local one only where that is unset."""
-    if where := spark.conf.get("spark.checkpoint.dir", None):
-        return where
-    if (where := spark.sparkContext.getCheckpointDir()) is None:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='cartomill-')}")
-        where = spark.sparkContext.getCheckpointDir()
-    return where
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Results are run by the caller, so the setting can't be undone before; a session that names a number of its own keeps it.
+    """
+    storage.ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
 def words(text: Column) -> Column:
@@ -63,8 +45,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def remainder(doc_id: Column, n: int) -> Column:
-    """crc32 of the id as text, mod n."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % n
+    """crc32 of the id as text, mod n; a null id counts as an empty text, whose remainder is 0."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
 #: Broadcast filters hold at most this many bucket numbers, whatever the number of keys.
@@ -75,11 +57,15 @@ def _bucket(key: str) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(13)), F.lit(FILTER_BUCKETS)).alias("_bucket")
 
 
-def having(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows whose non-null ``key`` is in ``keys``.  A broadcast of bounded size keeps most others out of the shuffle."""
+def perhaps(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` may be in ``keys``: a broadcast of bounded size keeps most others out of a shuffle."""
     few = F.broadcast(keys.select(_bucket(key)).distinct())
-    near = rows.withColumn("_bucket", _bucket(key)).join(few, "_bucket", "left_semi").drop("_bucket")
-    return near.join(keys.select(key).distinct(), key, "left_semi").select(rows.columns)
+    return rows.withColumn("_bucket", _bucket(key)).join(few, "_bucket", "left_semi").drop("_bucket")
+
+
+def having(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose non-null ``key`` is in ``keys``."""
+    return perhaps(rows, keys, key).join(keys.select(key).distinct(), key, "left_semi").select(rows.columns)
 
 
 def lacking(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -89,3 +75,16 @@ def lacking(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     far = marked.join(few, "_bucket", "left_anti").drop("_bucket")
     near = marked.join(few, "_bucket", "left_semi").drop("_bucket")
     return far.unionByName(near.join(keys.select(key).distinct(), key, "left_anti").select(rows.columns))
+
+
+#: Groups of more rows than this, and than a 100,000th of all rows, are joined by a broadcast of at most 100,000 rows.
+HOT_ROWS, HOT_GROUPS = 1000, 100_000
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, by: list[str], n: str = "n") -> DataFrame:
+    """``rows`` joined with ``groups`` (by, ``n``: rows in the group, any others): large groups aren't shuffled to one task.
+
+    Both should be tables that are cheap to read again.
+    """
+    large = F.broadcast(groups.where(F.col(n) > max(HOT_ROWS, rows.count() // HOT_GROUPS)))
+    return rows.join(large, by).unionByName(rows.join(large.select(by), by, "left_anti").join(groups, by))
