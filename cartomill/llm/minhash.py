@@ -9,8 +9,9 @@ import pyarrow as pa
 
 SHINGLE = 5
 BANDS, ROWS = 12, 4
-#: Shingles in at most this share of all documents have the largest weight; only those above it are looked up.
-FREQUENT = 0.01
+#: Shingles in at most this share of all documents, or in two of them, have the largest weight; only those above it are
+#: looked up.  Lower shares would let the few words that change within a large group of copies outweigh all they share.
+FREQUENT = 0.001
 #: Bytes of text that are worked on at once.
 BYTES = 1 << 20
 _U64 = np.uint64
@@ -99,12 +100,12 @@ def shingles(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 class Weights:
-    """Weight of a shingle: its count times 1 + ln(1 / max(share of documents, FREQUENT))."""
+    """Weight of a shingle: its count times 1 + ln(1 / max(share of documents, floor))."""
 
-    def __init__(self, frequent: np.ndarray, shares: np.ndarray) -> None:
+    def __init__(self, frequent: np.ndarray, shares: np.ndarray, floor: float = FREQUENT) -> None:
         order = np.argsort(frequent)
-        self.at, self.idf = frequent[order], (1 - np.log(np.maximum(shares[order], FREQUENT))).astype(np.float32)
-        self.rare = np.float32(1 - np.log(FREQUENT))
+        self.at, self.idf = frequent[order], (1 - np.log(np.maximum(shares[order], floor))).astype(np.float32)
+        self.rare = np.float32(1 - np.log(floor))
 
     def bag(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s, n = np.unique(hashes, return_counts=True)
