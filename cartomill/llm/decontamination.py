@@ -2,12 +2,13 @@
 
 Texts become templates: numbers, units and capitalised words (names, and words
 that start a sentence) turn into typed placeholders.  Windows of five template
-tokens are hash-joined to the benchmark's.  Where a document holds enough of an
-item's windows, the values in its slots are compared with the item's: each
-value of the item must stand for one value all through.  So re-parameterised
-questions are caught, and passages that only share a form aren't.  Capitals tell
-names from words, so a copy in other case has other templates: whole copies are
-also found by windows of the words themselves in lower case.
+tokens, and of the words themselves in any case, are hash-joined to the
+benchmark's.  One common window makes a candidate: the item is then laid beside
+the document's tokens at the windows' shifts, so that changed, added and missing
+words count as such.  A document holds an item if enough of the item's words
+stand there, or enough of its literal words with consistent values in its slots:
+each value of the item must stand for one value all through.  So edited and
+re-parameterised questions are caught, and passages that only share a form aren't.
 """
 
 from __future__ import annotations
@@ -15,11 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartomill.llm.common import having, lacking, let, table, written
+from cartomill.llm.common import discard, having, lacking, let, table, written
 
 WINDOW = 5
-#: Share of an item's windows that a document must hold.
+#: Share of an item's words that a document must hold.
 SHARE = 0.8
+#: Literal words that an item needs at least, to be told by its template.
+LITERALS = 5
+#: Words that may be added or missing, as a share of the item's words (but SLACK_WORDS in any case).
+SLACK, SLACK_WORDS = 0.2, 2
 #: Literal tokens that a window needs at least.
 LITERAL = 2
 #: Benchmark windows that are broadcast at most; beyond, the join is dealt by hash.
@@ -58,11 +63,11 @@ def template(text: Column) -> Column:
 
 
 def windows(words: Column) -> Column:
-    """64-bit hashes of each window; none for fewer tokens than one window has."""
+    """Structs (at, hash: 64 bits) of each window; none for fewer tokens than one window has."""
     def each(hashes: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]))
+        return F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]).alias("hash")))
 
-    none = F.lit([]).cast("array<bigint>")
+    none = F.lit([]).cast("array<struct<at:int,hash:bigint>>")
     return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) >= WINDOW, each(h)).otherwise(none))
 
 
@@ -70,57 +75,80 @@ def _literal(words: Column, at: Column) -> Column:
     return sum((~F.get(words, at + k).startswith("\u0001")).cast("int") for k in range(WINDOW)) >= LITERAL
 
 
-def whole_copies(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Like leaks(), with row: documents that hold all of an item's words one after the other, in whatever case.
+def _row() -> Column:
+    return F.xxhash64("doc_id", "text").alias("row")
 
-    items: (item_id, item_folded), of five words or more.
+
+def _aligned(near: DataFrame, share: float) -> DataFrame:
+    """Adds matched, kind (null: not held) to rows with anchor, shifts, and both sides' words and templates.
+
+    A word of the item matches if it stands at one of the shifts near the anchor.
     """
-    own = items.select("item_id", F.xxhash64("item_folded").alias("item"), "item_folded").distinct()
-    listed = own.select("item_id", "item", (F.size("item_folded") - (WINDOW - 1)).cast("long").alias("item_windows"), F.posexplode(windows(F.col("item_folded"))).alias("item_at", "hash"))
-    listed = written(listed, "words")
-    held = docs.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(windows(folded(F.col("text")))).alias("at", "hash"))
-    met = held.join(F.broadcast(listed) if listed.count() <= BROADCAST_WINDOWS else listed, "hash").withColumn("shift", F.col("at") - F.col("item_at"))
-    n = met.groupBy("doc_id", "row", "item_id", "item", "item_windows", "shift").agg(F.countDistinct("item_at").alias("windows"))
-    found = n.where("windows = item_windows").groupBy("doc_id", "row", "item_id").agg(F.max("windows").alias("windows"), F.max("item_windows").alias("item_windows"))
-    return found.withColumns({"share": F.lit(1.0), "kind": F.lit("copy")})
+    n = F.size("item_folded")
+    close = F.filter("shifts", lambda s: F.abs(s - F.col("anchor")) <= F.greatest(F.lit(SLACK_WORDS), (SLACK * n).cast("int")))
+    there = lambda side, i: F.filter("close", lambda s: F.coalesce(F.get(f"doc_{side}", i + s) == F.get(f"item_{side}", i), F.lit(False)))
+    literal = lambda i: ~F.get("item_words", i).startswith("\u0001")
+
+    def word(i: Column) -> Column:
+        typed = lambda t: F.when(~literal(i) & (F.size(t) > 0), F.struct(F.get("item_folded", i).alias("a"), F.get("doc_folded", i + F.get(t, F.lit(0))).alias("b")))
+        return F.struct((F.size(there("folded", i)) > 0).alias("same"), literal(i).alias("literal"), let(there("words", i), typed).alias("slot"))
+
+    near = near.withColumn("close", close).withColumn("each", F.transform(F.sequence(F.lit(0), n - 1), word))
+    count = lambda cond: F.size(F.filter("each", cond))
+    pairs = F.array_distinct(F.array_compact(F.transform("each", lambda x: x["slot"])))
+    consistent = let(pairs, lambda p: F.size(F.array_distinct(F.transform(p, lambda x: x["a"]))) == F.size(p))
+    literals, kept = count(lambda x: x["literal"]), count(lambda x: x["literal"] & x["same"])
+    form = count(lambda x: x["same"] | x["slot"].isNotNull())
+    same = count(lambda x: x["same"])
+    template = (literals >= LITERALS) & (kept >= share * literals) & (form >= share * n) & consistent
+    kind = F.when(same == n, "copy").when((same >= share * n) & consistent, "edited").when(template, "reparameterised")
+    return near.withColumns({"kind": kind, "matched": F.when(same >= share * n, same).otherwise(form)})
+
+
+def _held(docs: DataFrame, benchmark: DataFrame, share: float) -> DataFrame:
+    """A written table (row, doc_id, item_id, matched, item_words, kind); row: the hash of id and text."""
+    text = F.col("text")
+    items = benchmark.where("item_id is not null and text is not null")
+    items = items.select("item_id", F.xxhash64("item_id", "text").alias("item"), folded(text).alias("item_folded"), tokens(template(text)).alias("item_words")).dropDuplicates(["item_id", "item"])
+    items = written(items.where(F.size("item_folded") > 0), "items")
+    long = items.where(F.size("item_folded") >= WINDOW)
+    plain = long.select("item", F.inline(windows(F.col("item_folded"))).alias("item_at", "hash"))
+    typed = long.select("item", "item_words", F.inline(windows(F.col("item_words"))).alias("item_at", "hash"))
+    listed = written(plain.unionByName(typed.where(_literal(F.col("item_words"), F.col("item_at"))).drop("item_words")).distinct(), "listed")
+    there = docs.where("text is not null")
+    held = there.select("doc_id", _row(), F.inline(F.concat(windows(folded(text)), windows(tokens(template(text))))).alias("at", "hash"))
+    few = F.broadcast(listed) if listed.count() <= BROADCAST_WINDOWS else listed
+    met = held.join(few, "hash").groupBy("doc_id", "row", "item").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
+    met = written(met, "met")
+    texts = having(there.select(_row(), "text"), met, "row").dropDuplicates(["row"])
+    near = met.join(items, "item").join(texts.select("row", folded(text).alias("doc_folded"), tokens(template(text)).alias("doc_words")), "row")
+    near = _aligned(near.withColumn("anchor", F.explode("shifts")), share).where("kind is not null")
+    size = F.size("item_folded")
+    order = F.when(F.col("kind") == "copy", 2).when(F.col("kind") == "edited", 1).otherwise(0) + F.col("matched") / (size + 1)
+    found = near.select("row", "doc_id", "item_id", "matched", size.alias("item_words"), "kind", order.alias("o"))
+    # items shorter than a window: documents that are nothing else
+    short = items.where(F.size("item_folded") < WINDOW).select("item_id", F.xxhash64("item_folded").alias("whole"), F.size("item_folded").alias("item_words"))
+    whole = there.select("doc_id", _row(), F.when(F.length("text") < 1000, F.xxhash64(folded(text))).alias("whole")).join(short, "whole")
+    whole = whole.select("row", "doc_id", "item_id", F.col("item_words").alias("matched"), "item_words", F.lit("copy").alias("kind"), F.lit(3.0).alias("o"))
+    both = found.unionByName(whole).groupBy("row", "doc_id", "item_id").agg(F.max_by(F.struct("matched", "item_words", "kind"), "o").alias("x"))
+    out = written(both.select("row", "doc_id", "item_id", "x.*"), "found")
+    discard(items, listed, met)
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, windows, item_windows, share, kind) for each document and item it holds.
+    """(doc_id, item_id, matched, item_words, share, kind) for each document and item it holds.
 
     docs: (doc_id, text); benchmark: (item_id, text); both tables may have more columns.
-    kind: ``copy`` if all slots hold the item's own values, else ``reparameterised``.  Null
-    and empty texts, and items with fewer than five tokens, match nothing; items without a
-    window of two literal tokens match whole copies only.  Rows with the same doc_id and text give one result.
-    Windows count once for each item, wherever the document holds them.
+    matched: words of the item that stand in the document (their placeholders, if kind says
+    so) at one place; share: of all its item_words.  kind: ``copy`` if all do, ``edited`` if
+    ``share`` of them do, ``reparameterised`` if ``share`` of the literal words and of the
+    template do; for these two the values in its slots must be consistent.  Case doesn't count.  Null and
+    empty texts match nothing; items of fewer than five words match documents of the same
+    words.  Rows with the same doc_id and text give one result, as do several texts of one item_id.
     """
-    row = F.xxhash64("doc_id", "text").alias("row")
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", tokens(F.col("text")).alias("item_raw"), folded(F.col("text")).alias("item_folded"), tokens(template(F.col("text"))).alias("item_words"))
-    items = written(items.where(F.size("item_words") >= WINDOW), "items")
-    listed = items.select("item_id", "item_words", F.posexplode(windows(F.col("item_words"))).alias("item_at", "hash")).where(_literal(F.col("item_words"), F.col("item_at")))
-    listed = listed.select("item_id", "item_at", "hash").distinct()
-    sizes = listed.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    small = listed.count() <= BROADCAST_WINDOWS
-    held = docs.where("text is not null").select("doc_id", row, F.posexplode(windows(tokens(template(F.col("text"))))).alias("at", "hash"))
-    met = held.join(F.broadcast(listed) if small else listed, "hash").select("doc_id", "row", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"))
-    met = written(met.groupBy("doc_id", "row", "item_id", "shift").agg(F.collect_set("item_at").alias("item_ats")), "met")
-    per_item = met.select("row", "item_id", F.explode("item_ats").alias("item_at")).groupBy("row", "item_id").agg(F.countDistinct("item_at").alias("n"))
-    enough = per_item.join(sizes, "item_id").where(F.col("n") >= share * F.col("item_windows")).select("row", "item_id", "item_windows")
-    near = met.join(enough, ["row", "item_id"]).join(items, "item_id")
-    texts = having(docs.where("text is not null").select(row, "text"), enough, "row").dropDuplicates(["row"])
-    near = near.join(texts.select("row", tokens(F.col("text")).alias("raw")), "row")
-    slot = lambda at, k: F.when(F.get("item_words", at + k).startswith("\u0001"), F.struct(F.get("item_raw", at + k).alias("a"), F.get("raw", at + k + F.col("shift")).alias("b")))
-    pairs = F.array_distinct(F.array_compact(F.flatten(F.transform("item_ats", lambda at: F.array(*[slot(at, k) for k in range(WINDOW)])))))
-    near = near.withColumn("pairs", pairs).where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs"))
-    near = near.withColumn("same", F.forall("pairs", lambda p: p["a"] == p["b"]))
-    found = near.select("doc_id", "row", "item_id", "item_windows", "same", F.explode("item_ats").alias("item_at"))
-    each = found.groupBy("doc_id", "row", "item_id", "item_windows").agg(F.countDistinct("item_at").alias("windows"), F.min("same").alias("same"))
-    each = each.where(F.col("windows") >= share * F.col("item_windows")).select(
-        "doc_id", "row", "item_id", "windows", "item_windows", (F.col("windows") / F.col("item_windows")).alias("share"), F.when(F.col("same"), "copy").otherwise("reparameterised").alias("kind")
-    )
-    each = written(each, "found")
-    copies = whole_copies(docs, items).join(each, ["row", "item_id"], "left_anti")
-    return each.unionByName(copies.select(each.columns)).drop("row")
+    found = _held(docs, benchmark, share)
+    return found.select("doc_id", "item_id", "matched", "item_words", (F.col("matched") / F.col("item_words")).alias("share"), "kind")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +156,6 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = written(leaks(docs, table(spark, sf_dir, "benchmark")).where("doc_id is not null").select("doc_id").distinct(), "leaks")
-    return lacking(docs, found, "doc_id")
+    """Documents that hold a benchmark item go, with or without an id; another text under the same id stays."""
+    found = written(_held(docs, table(spark, sf_dir, "benchmark"), SHARE).select("row").distinct(), "leaks")
+    return lacking(docs.withColumn("_row", F.when(F.col("text").isNotNull(), F.xxhash64("doc_id", "text"))), found.withColumnRenamed("row", "_row"), "_row").select(docs.columns)
