@@ -83,6 +83,16 @@ def _ratio(token: Column, ratios: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(token)), start, step)["s"] / F.length(token)
 
 
+#: Matches of a text are dealt into blocks of so many, so that the work grows little faster than their number.
+BLOCK = 128
+SPANS = "array<struct<s:int,k:int,e:int>>"
+
+
+def _blocks(array: Column) -> Column:
+    none = F.slice(array, 1, 0)
+    return F.when(F.size(array) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / BLOCK).cast("int")), lambda j: F.slice(array, j * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.slice(F.array(none), 1, 0))
+
+
 def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
     """All matches that keep(match, group 2) lets pass, as structs (start, kind, end) in code points."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -90,14 +100,28 @@ def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
     both = F.struct(inner.alias("inner"), F.split(text, pattern, -1).alias("gaps"))
     one = lambda b, m, i: F.struct(F.length(F.get(b["gaps"], i)).alias("gap"), F.length(m).alias("len"), keep(m, F.get(b["inner"], i)).alias("ok"))
     each = let(both, lambda b: F.transform(whole, lambda m, i: one(b, m, i)))
-    start = F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<struct<s:int,k:int,e:int>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         s, e = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["len"]
         one = F.array(F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e")))
         return F.struct(e.alias("at"), F.when(x["ok"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(each, start, step)["out"]
+    def placed(blocks: Column) -> Column:
+        """Each block's spans, from where the blocks before it end."""
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + x["len"]))
+        start = lambda z, j: F.aggregate(F.slice(z, 1, j), F.lit(0), lambda n, x: n + x)
+        spans = lambda b, at: F.aggregate(b, F.struct(at.alias("at"), F.lit([]).cast(SPANS).alias("out")), step)["out"]
+        return let(sizes, lambda z: F.flatten(F.transform(blocks, lambda b, j: spans(b, start(z, j)))))
+
+    return let(let(each, _blocks), placed)
+
+
+def _apart(tokens: Column, base: Column) -> Column:
+    """Those of ``tokens`` that overlap none of ``base``, which is sorted."""
+    overlap = lambda t, b: (b["s"] < t["e"]) & (t["s"] < b["e"])
+    # spans of several kinds may lie in each other, so a block ends where the farthest of its spans does
+    ranged = F.transform(_blocks(base), lambda b: F.struct(F.get(b, F.lit(0))["s"].alias("s"), F.array_max(F.transform(b, lambda x: x["e"])).alias("e"), b.alias("of")))
+    return let(ranged, lambda blocks: F.filter(tokens, lambda t: ~F.exists(blocks, lambda x: overlap(t, x) & F.exists(x["of"], lambda b: overlap(t, b)))))
 
 
 def _listed(spans: Column) -> Column:
@@ -109,10 +133,11 @@ def scan(docs: DataFrame, ratios: list[float], text_col: str = "text") -> DataFr
     """Adds base and spans (arrays of (s, k, e), by start, then kind; k indexes KINDS) to ``docs``.
 
     Null or empty text: no spans.  Markov spans that overlap a base span are left out.
-    The whole text is scanned, however long.
+    The whole text is scanned, however long.  Columns base, spans, _assign, _access, _hex and
+    _token are this function's own: those of ``docs`` are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.lit([]).cast("array<struct<s:int,k:int,e:int>>")
+    none = F.lit([]).cast(SPANS)
     low = F.lower(text)
     words = ("password", "passwd", "secret", "token", "apikey", "api_key")
     hint = F.lit(False)
@@ -128,7 +153,7 @@ def scan(docs: DataFrame, ratios: list[float], text_col: str = "text") -> DataFr
         }
     )
     base = F.array_sort(F.concat("_assign", "_access", "_hex"))
-    apart = F.filter("_token", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
+    apart = F.when((F.size("_token") > 0) & (F.size("base") > 0), _apart(F.col("_token"), F.col("base"))).otherwise(F.col("_token"))
     return found.withColumn("base", base).withColumn("spans", F.array_sort(F.concat("base", apart))).drop("_token")
 
 
