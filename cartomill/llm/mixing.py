@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cartomill.llm.common import table, words, written
+from cartomill.llm.common import discard, table, words, written
 
 #: Documents that one key range of a source is meant to hold.
 RANGE_ROWS = 2048
@@ -107,25 +107,31 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cuts(plan: DataFrame, seed: str = "mix") -> DataFrame:
-    """mix()'s decision as one row for each source: copies of its documents up to the key ``last``, and of the others.
+    """mix()'s decision as one row for each source: copies of its documents up to the key ``_mix_last``, and of the others.
 
     The documents taken once more are the first ones of the source's order, so the last of
     them tells all.
     """
     order = F.struct(_key(F.col("doc_id"), seed).alias("key"), "doc_id", "size")
     both = plan.groupBy("source", "copies").agg(F.max(order).alias("last"))
-    return both.groupBy("source").agg(F.max("copies").alias("most"), F.min("copies").alias("least"), F.max_by("last", "copies").alias("last"))
+    ends = [F.max("copies").alias("_mix_most"), F.min("copies").alias("_mix_least"), F.max_by("last", "copies").alias("_mix_last")]
+    return both.groupBy(F.col("source").alias("_mix_source")).agg(*ends)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it.  Only ids and sizes are sorted; texts don't move."""
+    """Each document as often as the mixture takes it.  Only ids and sizes are sorted; texts don't move.
+
+    Columns that start with _mix_ are reserved; any others pass through.
+    """
     small = written(sized(docs), "mix")
-    ends = written(cuts(mix(small)).withColumnRenamed("source", "_source"), "cuts")
+    ends = written(cuts(mix(small)), "cuts")
     few = F.broadcast(ends) if ends.count() <= BROADCAST_SOURCES else ends
     order = F.struct(_key(F.col("doc_id"), "mix").alias("key"), "doc_id", words(F.col("text")).alias("size"))
-    met = docs.join(few, F.col("source").eqNullSafe(F.col("_source")))
-    often = met.withColumn("_n", F.when(order <= F.col("last"), F.col("most")).otherwise(F.col("least"))).where("_n > 0")
-    return often.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
+    met = docs.join(few, F.col("source").eqNullSafe(F.col("_mix_source")))
+    often = met.withColumn("_mix_n", F.when(order <= F.col("_mix_last"), F.col("_mix_most")).otherwise(F.col("_mix_least"))).where("_mix_n > 0")
+    out = often.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(docs.columns)
+    discard(small)
+    return out
 
 
 OP7_SQL = r"""

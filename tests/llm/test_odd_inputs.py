@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from cartomill.llm import queries
+from pyspark.sql import functions as F
+
+from cartomill.llm import queries, sharding
 from cartomill.llm.common import table
 from corpus_pipeline import STAGES, run
 
@@ -84,3 +86,19 @@ def test_stages(spark, odd, empty):
 
 def test_run(spark, odd):
     assert {"doc_id", "shard", "slot"} <= set(run(spark, odd).columns)
+
+
+CLASHES = "doc_id long, text string, lang string, source string, chars int, low int, high int, keep string, perplexity double, last int, most int, least int, dim int, cut int, node int, base int, spans int, row string, key string, n int, comp string, bucket int, copies int, size int, shard_ int"
+
+
+def test_clashing_columns(spark, odd):
+    """Columns that have the names of operators' own pass through the stages as they are."""
+    mine = [(r[0], r[1], r[2], r[3], -7, 1, 2, "k", 0.5, 4, 5, 6, 7, 8, 9, 10, 11, "r", "y", 12, "c", 13, 14, 15, 16) for r in rows()]
+    docs = spark.createDataFrame(mine, CLASHES)
+    for name, stage in STAGES[:-1]:
+        got = stage(spark, docs, odd)
+        assert got.columns == docs.columns
+        seen = got.drop("doc_id", "text", "lang", "source").distinct().collect()
+        assert [tuple(r) for r in seen] == [mine[0][4:]], name
+    placed = sharding.kd_shards(sharding.metadata(docs).withColumns({c: F.lit(5) for c in ("dim", "cut", "low", "high", "node", "base", "above", "shift", "n")}))
+    assert placed.count() == len(mine) and placed.select("dim", "cut", "low", "node", "n").distinct().collect() == [(5, 5, 5, 5, 5)]
