@@ -139,20 +139,49 @@ def test_quality_on_labels(spark):
 
 def test_attention_learns_and_sums_to_one():
     rng = np.random.default_rng(0)
-    seq = np.tile([3, 5, 9, 2], 400)
+    ids = np.tile([3, 5, 9, 2], 400)
+    tail = (attention.TAIL + 1) * attention.SUBS
+    seq = np.tile([3 * attention.SUBS, 5 * attention.SUBS, tail + 7, tail + 9], 400)
     x, y = attention.windows(np.array([len(seq)]))
-    m = attention.Attention(np.full(attention.OUTPUTS, -math.log(attention.OUTPUTS)))
-    ids, cls = np.append(seq, attention.PAD)[x], np.where(y >= 0, seq[y], 0)
-    before = m.log_probs(ids, cls).mean()
-    m.fit(ids, cls, (y >= 0).astype(np.float32), epochs=30, batch=16)
-    assert m.log_probs(ids, cls).mean() > max(-0.7, before)
+    m = attention.Attention(np.full(attention.OUTPUTS, -math.log(attention.OUTPUTS)), np.full((attention.TAILS, attention.SUBS), -math.log(attention.SUBS)))
+    ids, codes = np.append(ids, attention.PAD)[x], np.where(y >= 0, seq[y], -1)
+    before = m.log_probs(ids, codes).mean()
+    for k in range(30):
+        m.steps(ids, codes, codes >= 0, k / 30, (k + 1) / 30, batch=16, seed=k)
+    assert m.log_probs(ids, codes)[y >= 0].mean() > max(-0.7, before)
     one = rng.integers(0, 20, (1, attention.SPAN))
-    total = sum(np.exp(m.log_probs(one, np.full((1, attention.STRIDE), c))) for c in range(attention.OUTPUTS))
+    every = [c * attention.SUBS for c in range(attention.OUTPUTS) if not attention.TAIL <= c < attention.TAIL + attention.TAILS]
+    every += range(attention.TAIL * attention.SUBS, (attention.TAIL + attention.TAILS) * attention.SUBS)
+    total = sum(np.exp(m.log_probs(one, np.full((1, attention.STRIDE), c))) for c in every)
     assert np.allclose(total, 1, atol=1e-3)
     later = one.copy()
     later[0, -1] = (later[0, -1] + 1) % 20
     assert np.allclose(m.log_probs(one, np.zeros((1, attention.STRIDE), int))[0, :-1], m.log_probs(later, np.zeros((1, attention.STRIDE), int))[0, :-1])
     assert sorted(y[y >= 0].tolist()) == list(range(len(seq)))
+    again = attention.Attention(m.prior, m.parts, seed=5)
+    again.unflat(m.flat())
+    assert np.allclose(again.log_probs(one, np.zeros((1, attention.STRIDE), int)), m.log_probs(one, np.zeros((1, attention.STRIDE), int)))
+
+
+def test_attention_gradient():
+    """Against differences of the loss, in head, tails, attention and embeddings."""
+    rng = np.random.default_rng(1)
+    m = attention.Attention(np.full(attention.OUTPUTS, -math.log(attention.OUTPUTS)), np.full((attention.TAILS, attention.SUBS), -math.log(attention.SUBS)))
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    ids = rng.integers(0, 50, (2, attention.SPAN))
+    codes = rng.integers(0, attention.OUTPUTS * attention.SUBS, (2, attention.STRIDE))
+    weight = np.ones(codes.shape)
+    g = m._gradient(ids, codes, weight)
+    loss = lambda: -m.log_probs(ids, codes).sum() / weight.sum()
+    for k in ("head", "sub", "q", "v", "in", "pos", "emb"):
+        at = np.unravel_index(int(np.abs(g[k]).argmax()), g[k].shape)
+        old, step = m.p[k][at], 1e-3
+        m.p[k][at] = old + step
+        up = loss()
+        m.p[k][at] = old - step
+        down = loss()
+        m.p[k][at] = old
+        assert np.isclose((up - down) / (2 * step), g[k][at], rtol=0.05, atol=1e-4), k
 
 
 def test_lm_base(spark, docs):
