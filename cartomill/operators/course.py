@@ -62,12 +62,13 @@ def equilateral_score(x: list[Column], y: list[Column]) -> Column:
 def start_triangle(triangles: DataFrame, controls: DataFrame, ratio: tuple[float, float] = (0.25, 1.3), least: float = 0.85) -> DataFrame:
     """(map_id, x, y, score): the centre of the best triangle whose area suits the circles'.
 
-    triangles: (map_id, tri_id, x1, y1, x2, y2, x3, y3).  The upper median of the circles' areas is
+    triangles: (map_id, tri_id, x1, y1, x2, y2, x3, y3), and ``contour_area`` where the corners
+    stand for a contour, whose own area then counts.  The upper median of the circles' areas is
     the measure; maps without controls have no start.
     """
     circle = controls.groupBy("map_id").agg(F.array_sort(F.collect_list(F.pi() * F.col("radius") * F.col("radius"))).alias("_a")).select("map_id", F.get("_a", F.floor(F.size("_a") / 2).cast("int")).alias("area"))
     x, y = ([F.col(f"{c}{i}").cast("double") for i in (1, 2, 3)] for c in "xy")
-    own = F.abs((x[1] - x[0]) * (y[2] - y[0]) - (x[2] - x[0]) * (y[1] - y[0])) / 2
+    own = F.col("contour_area") if "contour_area" in triangles.columns else F.abs((x[1] - x[0]) * (y[2] - y[0]) - (x[2] - x[0]) * (y[1] - y[0])) / 2
     rows = triangles.join(circle, "map_id").where(own.between(ratio[0] * F.col("area"), ratio[1] * F.col("area"))).withColumn("score", equilateral_score(x, y)).where(F.col("score") >= least)
     best = rows.withColumn("_n", F.row_number().over(W.partitionBy("map_id").orderBy(F.desc("score"), "tri_id"))).where("_n = 1")
     return best.select("map_id", ((x[0] + x[1] + x[2]) / 3).alias("x"), ((y[0] + y[1] + y[2]) / 3).alias("y"), "score")

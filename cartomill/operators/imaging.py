@@ -46,6 +46,22 @@ def median(df: DataFrame, col: str, k: int = BLUR, out: str | None = None) -> Da
     return per_map(df, [col], out or f"{col}_median", lambda g: shapes.median_filter(g, k))
 
 
+def medians(df: DataFrame, cols: list[str], k: int = BLUR) -> DataFrame:
+    """(map_id, y, x, cols): each column's medians over whole rasters, in one pass over the maps."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        shape = (int(pdf.y.max()) + 1, int(pdf.x.max()) + 1)
+        out = {}
+        for c in cols:
+            grid = np.zeros(shape, np.int64)
+            grid[pdf.y, pdf.x] = pdf[c]
+            out[c] = shapes.median_filter(grid, k)[pdf.y, pdf.x].astype(np.int32)
+        return pdf.assign(**out)
+
+    rows = df.select("map_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *[F.col(c).cast("int").alias(c) for c in cols])
+    return rows.groupBy("map_id").applyInPandas(one, rows.schema)
+
+
 def rock(df: DataFrame, gray: str, light: str, share: float = 0.18) -> DataFrame:
     """Light pixels in whose 15 x 15 neighbourhood over ``share`` are edges."""
     df = raster.box_mean(edges(df, gray, 60, 150, "_edge"), "_edge", 15, 15, "_share")
@@ -71,6 +87,25 @@ def is_simple(rings: pd.Series) -> pd.Series:
     return pd.Series([None if r is None else shapes.is_simple([(p["x"], p["y"]) for p in r]) for r in rings])
 
 
+RINGS_TYPE = T.ArrayType(RING_TYPE)
+
+
+@F.pandas_udf(RINGS_TYPE)
+def simple_parts(rings: pd.Series) -> pd.Series:
+    """Rings without crossings that a ring falls into at its crossings; a simple ring is its only part."""
+    return pd.Series([None if r is None else [[{"x": x, "y": y} for x, y in part] for part in shapes.simple_parts([(p["x"], p["y"]) for p in r])] for r in rings])
+
+
+@F.pandas_udf(RING_TYPE)
+def approximated(rings: pd.Series, share: pd.Series) -> pd.Series:
+    """Each ring simplified by a share of its own length."""
+    out = []
+    for r, e in zip(rings, share, strict=True):
+        points = None if r is None else [(p["x"], p["y"]) for p in r]
+        out.append(None if points is None else [{"x": x, "y": y} for x, y in shapes.simplified(points, e * shapes.arc_length(points))])
+    return pd.Series(out)
+
+
 def contours(mask: DataFrame) -> DataFrame:
     """(map_id, label, ring): outer contours of the components of (map_id, y, x)."""
 
@@ -89,7 +124,8 @@ def polygons(grid: DataFrame, col: str, least: float = MIN_POLYGON_AREA, eps: fl
     """(map_id, label, ring): closed mask's contours, large enough before and after simplification."""
     closed = raster.closing(grid.withColumn(col, F.col(col).cast("int")), col, 5)
     rows = contours(closed.where(F.col(col) == 1)).where(G.shoelace(F.col("ring")) >= least)
-    return rows.withColumn("ring", simplified(F.col("ring"), eps)).where((F.size("ring") >= 3) & (G.shoelace(F.col("ring")) >= least))
+    rows = rows.withColumn("ring", F.explode(simple_parts(simplified(F.col("ring"), eps))))
+    return rows.where((F.size("ring") >= 3) & (G.shoelace(F.col("ring")) >= least))
 
 
 def hatched_polygons(grid: DataFrame, col: str, least: float = MIN_POLYGON_AREA) -> DataFrame:
@@ -131,7 +167,7 @@ def rectified(df: DataFrame, quads: DataFrame) -> DataFrame:
 
 
 def circles(ink: DataFrame, dims: DataFrame, votes: float, low: float = 0.006, high: float = 0.02) -> DataFrame:
-    """(map_id, x, y, radius, strength): centres that ink pixels vote for along their gradient, strongest of each neighbourhood.
+    """(map_id, x, y, radius, strength): centres that ink pixels vote for along their gradient, the peaks among them.
 
     ink: (map_id, y, x, v) with v 0 or 255, without gaps.  Radii are shares of the diagonal.
     """
@@ -143,27 +179,59 @@ def circles(ink: DataFrame, dims: DataFrame, votes: float, low: float = 0.006, h
     rays = rays.select("map_id", "r", F.round(F.col("x") + F.col("sign") * F.col("r") * F.col("dx") / norm).cast("int").alias("x"), F.round(F.col("y") + F.col("sign") * F.col("r") * F.col("dy") / norm).cast("int").alias("y"))
     count = rays.groupBy("map_id", "y", "x", "r").agg(F.count("*").alias("n"))
     best = count.groupBy("map_id", "y", "x").agg(F.sum("n").alias("strength"), F.max_by("r", F.struct("n", -F.col("r"))).alias("radius")).where(F.col("strength") >= votes)
-    return best.select("map_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("radius").cast("double").alias("radius"), F.col("strength").cast("double").alias("strength"))
+    return peaks(best).select("map_id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "radius", "strength")])
+
+
+def peaks(cells: DataFrame) -> DataFrame:
+    """Those of (map_id, y, x, strength, ...) that no neighbouring cell outdoes; of equal neighbours the first by y and x stays."""
+    rank = F.struct("strength", (-F.col("y")).alias("u"), (-F.col("x")).alias("l"))
+    near = cells.select("map_id", "y", "x", rank.alias("rank"))
+    for c in "yx":
+        near = near.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+    most = near.groupBy("map_id", "y", "x").agg(F.max("rank").alias("most"))
+    return cells.join(most, ["map_id", "y", "x"]).where(rank == F.col("most")).drop("most")
+
+
+def spaced(circles: DataFrame, dims: DataFrame, share: float = 0.02) -> DataFrame:
+    """Circles, strongest first, no two of a map nearer than ``share`` of its diagonal.
+
+    Strengths decide in a few hundred peaks of a map, of which one row is folded.
+    """
+    far = dims.select("map_id", (share * F.sqrt(F.col("w") * F.col("w") + F.col("h") * F.col("h"))).alias("far"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("strength")).alias("s"), "x", "y", "radius")))
+    near = lambda c, far: lambda k: F.hypot(k["x"] - c["x"], k["y"] - c["y"]) < far
+    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, c: F.when(F.exists(acc, near(c, F.col("far"))), acc).otherwise(F.concat(acc, F.array(c))))
+    rows = circles.groupBy("map_id").agg(order.alias("all")).join(far, "map_id").select("map_id", F.explode(kept).alias("c"))
+    return rows.select("map_id", "c.x", "c.y", "c.radius", (-F.col("c.s")).alias("strength"))
 
 
 def detected_controls(ink: DataFrame, votes: float, coverage: float) -> DataFrame:
     """(map_id, seq, x, y, radius, code): circles whose outline is inked well enough.  ink: (map_id, y, x, ink 0 or 1)."""
     inner = raster.border_mask(ink).withColumn("v", F.when(F.col("inner"), F.col("ink") * 255).otherwise(0))
-    found = course.suppressed(circles(inner.select("map_id", "y", "x", "v"), raster.sizes(ink), votes))
+    dims = raster.sizes(ink)
+    found = course.suppressed(spaced(circles(inner.select("map_id", "y", "x", "v"), dims, votes), dims))
     kept = course.ring_coverage(found, inner.where("v > 0").select("map_id", "y", "x")).where(F.col("coverage") >= coverage)
     return kept.select("map_id", "seq", "x", "y", "radius", F.lit(None).cast("string").alias("code"))
 
 
-def path_lines(df: DataFrame, gray: str, exclude: str, min_length: float = 15, gap: float = 8, threshold: int = 25) -> DataFrame:
-    """(map_id, x1, y1, x2, y2) along edges of dark pixels that aren't excluded."""
+def _long_segments(edge: DataFrame, dims: DataFrame, threshold: int, least: Column, gap: float) -> DataFrame:
+    """(map_id, x1, y1, x2, y2) of at least ``least``, a column over the map's h; each pixel counts for its strongest line."""
+    found = lines.line_segments(edge, threshold, 1, gap, consume=True).join(dims.select("map_id", least.alias("_least")), "map_id")
+    return found.where(G.length(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")) >= F.col("_least")).select("map_id", "x1", "y1", "x2", "y2")
+
+
+def path_lines(df: DataFrame, gray: str, exclude: str, gap: float = 8, threshold: int = 25) -> DataFrame:
+    """(map_id, x1, y1, x2, y2) along edges of dark pixels that aren't excluded: 15 pixels, and 1.5 % of the height, or longer."""
     dark = df.select("map_id", "y", "x", F.when((F.col(gray) < 90) & (F.col(exclude) == 0), 255).otherwise(0).alias("dark"))
-    return lines.line_segments(edges(dark, "dark", 60, 150).where("edge = 1").select("map_id", "y", "x"), threshold, min_length, gap).select("map_id", "x1", "y1", "x2", "y2")
+    edge = edges(dark, "dark", 40, 120).where("edge = 1").select("map_id", "y", "x")
+    return _long_segments(edge, raster.sizes(df), threshold, F.greatest(F.lit(15.0), 0.015 * F.col("h")), gap)
 
 
 def legs(ink: DataFrame, controls: DataFrame, starts: DataFrame) -> DataFrame:
-    """(map_id, x1, y1, x2, y2): straight ink between controls, with circles and start blanked."""
+    """(map_id, x1, y1, x2, y2): straight ink between controls, with circles and start blanked: 4 % of the height or longer."""
     dims = raster.sizes(ink)
     disks = controls.select("map_id", F.col("x").alias("cx"), F.col("y").alias("cy"), (F.col("radius") * 1.4).alias("r"))
     disks = disks.unionByName(starts.join(dims, "map_id").select("map_id", F.col("x").alias("cx"), F.col("y").alias("cy"), (0.02 * F.col("h")).alias("r")))
     clear = raster.border_mask(raster.blank_disks(ink, disks, "ink")).withColumn("v", F.when(F.col("inner"), F.col("ink") * 255).otherwise(0))
-    return lines.line_segments(edges(clear.select("map_id", "y", "x", "v"), "v", 60, 150).where("edge = 1").select("map_id", "y", "x"), 20, 15, 15).select("map_id", "x1", "y1", "x2", "y2")
+    edge = edges(clear.select("map_id", "y", "x", "v"), "v", 40, 120).where("edge = 1").select("map_id", "y", "x")
+    return _long_segments(edge, dims, 20, 0.04 * F.col("h"), 15)

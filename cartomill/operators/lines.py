@@ -69,12 +69,19 @@ def line_votes(pixels: DataFrame, threshold: int, steps: int = 180) -> DataFrame
     return rows.groupBy("map_id", "theta", rho.alias("rho")).agg(F.count("*").alias("votes")).where(F.col("votes") >= threshold)
 
 
-def line_segments(pixels: DataFrame, threshold: int, min_length: float, max_gap: float, steps: int = 180) -> DataFrame:
-    """Runs of pixels along the lines that line_votes() finds: (map_id, theta, rho, x1, y1, x2, y2)."""
+def line_segments(pixels: DataFrame, threshold: int, min_length: float, max_gap: float, steps: int = 180, consume: bool = False) -> DataFrame:
+    """Runs of pixels along the lines that line_votes() finds: (map_id, theta, rho, x1, y1, x2, y2).
+
+    consume: a pixel counts only for the line with the most votes through it, so that one
+    drawn line doesn't come back as a bundle.
+    """
     found = line_votes(pixels, threshold, steps)
     angle = F.col("theta") * (math.pi / steps)
     rho = F.round(F.round(F.col("x") * F.cos(angle) + F.col("y") * F.sin(angle), 6)).cast("int")
     on = pixels.select("map_id", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("theta")).withColumn("rho", rho).join(found, ["map_id", "theta", "rho"])
+    if consume:
+        best = W.partitionBy("map_id", "x", "y").orderBy(F.desc("votes"), "theta", "rho")
+        on = on.withColumn("_best", F.row_number().over(best)).where("_best = 1").drop("_best")
     on = on.withColumn("along", F.col("y") * F.cos(angle) - F.col("x") * F.sin(angle))
     runs = gap_clusters(on, ["map_id", "theta", "rho"], "along", max_gap, ["x", "y"])
     ends = runs.groupBy("map_id", "theta", "rho", "cluster").agg(F.min_by(F.struct("x", "y"), "along").alias("a"), F.max_by(F.struct("x", "y"), "along").alias("b"))

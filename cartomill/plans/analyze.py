@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cartomill.functions import color
+from cartomill.functions import color, geometry
 from cartomill.operators import cluster, course, imaging, lines, raster, route
 from cartomill.plans import geojson
 from cartomill.schemas import CIRCLE_VOTES_DEFAULT, CLUSTERS, RING_COVERAGE_MIN, WORKING_MAX_SIDE
+from cartomill.sources import images
 from cartomill.storage import written
 
 
@@ -53,12 +54,13 @@ def segmented(pixels: DataFrame, valid: str = "valid", clusters: int = CLUSTERS)
     p = written(raster.marsh(p).withColumn("marsh", (F.col("marsh") == 1) & F.col("ok") & ~F.col("water") & ~F.col("oob") & ~F.col("rock")), "layers")
     taken = ~F.col("ok") | F.col("water") | F.col("oob") | F.col("rock") | F.col("marsh")
     paths = imaging.path_lines(p.withColumn("_no", taken.cast("int")), "gray", "_no")
-    rest = p.where(~taken & ~color.is_dark(F.col("gray"))).select("map_id", "y", "x", "h", "s", "v")
-    for c in "hsv":
-        rest = imaging.median(rest, c, out=c)
-    spots = written(cluster.kmeans(rest, ["h", "s", "v"], clusters), "spots")
-    names = spots.where("cluster is not null").groupBy("cluster").agg(*[F.avg(c).alias(c) for c in "hsv"]).select("cluster", color.vegetation(h, s, v).alias("class_name"))
-    green = spots.join(F.broadcast(names), "cluster").select("map_id", "y", "x", "class_name")
+    # the whole photo is blurred, so that what lies under lines and beside borders takes part; then the rest is sampled
+    soft = raster.with_hsv(imaging.medians(p, ["b", "g", "r"])).select("map_id", "y", "x", *[F.col(c).cast("double").alias(c) for c in "hsv"])
+    rest = p.where(~taken & ~color.is_dark(F.col("gray"))).select("map_id", "y", "x").join(soft, ["map_id", "y", "x"])
+    spots = written(cluster.kmeans_by_map(written(rest, "rest"), ["h", "s", "v"], clusters), "spots")
+    centres = spots.where("cluster is not null").groupBy("map_id", "cluster").agg(*[F.avg(c).alias(c) for c in "hsv"])
+    names = centres.select("map_id", "cluster", color.vegetation(h, s, v).alias("class_name"))
+    green = spots.join(names, ["map_id", "cluster"]).select("map_id", "y", "x", "class_name")
     grid = p.join(green, ["map_id", "y", "x"], "left").select("map_id", "y", "x", "water", "oob", "rock", "marsh", *[(F.coalesce(F.col("class_name") == n, F.lit(False))).alias(n) for n in ("forest", "clearing", "thicket")])
     grid = written(grid, "grid")
     parts = [imaging.hatched_polygons(grid, "oob").withColumn("class_name", F.lit("out_of_bounds"))]
@@ -79,12 +81,24 @@ def detected(pixels: DataFrame, votes: float = CIRCLE_VOTES_DEFAULT, coverage: f
     every = written(imaging.detected_controls(ink, votes, coverage), "controls")
     controls, finishes = course.without_finish(every), course.finish(every).select("map_id", "x", "y")
     clear = raster.blank_disks(ink, every.select("map_id", F.col("x").alias("cx"), F.col("y").alias("cy"), (F.col("radius") * 1.4).alias("r")), "ink")
-    found = imaging.contours(clear.where("ink = 1")).withColumn("ring", imaging.simplified(imaging.hull(F.col("ring")), 4.0)).where(F.size("ring") == 3)
-    tri = found.select("map_id", F.col("label").alias("tri_id"), *[F.get("ring", i)[c].alias(f"{c}{i + 1}") for i in range(3) for c in "xy"])
-    starts = course.start_triangle(tri, every).select("map_id", "x", "y")
+    starts = written(starts_from(clear, every), "starts")
     return {"ink": ink, "controls": controls, "starts": starts, "finishes": finishes, "legs": imaging.legs(ink, every, starts)}
 
 
+def starts_from(ink: DataFrame, controls: DataFrame) -> DataFrame:
+    """(map_id, x, y) of the start triangle in the ink (map_id, y, x, ink) that is left when circles are blanked."""
+    found = imaging.contours(ink.where("ink = 1")).withColumn("contour_area", geometry.shoelace(F.col("ring")))
+    found = found.withColumn("ring", imaging.approximated(F.col("ring"), F.lit(0.04))).where(F.size("ring") == 3)
+    tri = found.select("map_id", F.col("label").alias("tri_id"), "contour_area", *[F.get("ring", i)[c].alias(f"{c}{i + 1}") for i in range(3) for c in "xy"])
+    return course.start_triangle(tri, controls).select("map_id", "x", "y")
+
+
+def rectify_photo(pixels: DataFrame, max_side: int = WORKING_MAX_SIDE) -> DataFrame:
+    """(map_id, png, width, height, scale_to_original, quad_found, mn_line_xs, mn_line_spacing_px): the upright, balanced photo without its analysis."""
+    first = preprocessed(pixels, max_side)
+    return first["maps"].join(images.encoded(first["pixels"]), "map_id")
+
+
 def analyzed(pixels: DataFrame, boxes: DataFrame, names: DataFrame, votes: float = CIRCLE_VOTES_DEFAULT) -> dict[str, DataFrame]:
     """All tables of the analysis.  boxes: (map_id, x0, y0, x1, y1); names: (map_id, source_photo)."""
     first = preprocessed(pixels)

@@ -18,12 +18,21 @@ from cartomill.plans.geojson import stem
 _SIGN = b"\x89PNG\r\n\x1a\n"
 
 
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("image").option("dropInvalid", False).option("pathGlobFilter", "*.{jpg,jpeg,png,JPG,JPEG,PNG}").load(path)
+
+
+def rejected(spark: SparkSession, path: str) -> DataFrame:
+    """(source_photo): files with a photo's extension that can't be decoded."""
+    return _read(spark, path).where("image.height <= 0").select(F.element_at(F.split("image.origin", "/"), -1).alias("source_photo"))
+
+
 def photos(spark: SparkSession, path: str) -> DataFrame:
     """(map_id, source_photo, height, width, channels, data): decodable jpg, jpeg and png files; data is B, G, R by rows.
 
-    Files that can't be decoded are left out.
+    rejected() lists the files that can't be decoded.
     """
-    raw = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", "*.{jpg,jpeg,png,JPG,JPEG,PNG}").load(path)
+    raw = _read(spark, path).where("image.height > 0")
     name = F.element_at(F.split("image.origin", "/"), -1)
     return raw.select(stem(name).alias("map_id"), name.alias("source_photo"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
 
