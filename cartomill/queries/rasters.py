@@ -159,9 +159,7 @@ add("hatched_areas", HOLES + " SELECT map_id, parent AS label, count(*) AS holes
 add("cost_heat", f"WITH {RASTER} SELECT map_id, y, x, CAST(trunc(least(greatest(v / 32.0::DOUBLE, 0), 6.0) / 6.0 * 255) AS INTEGER) AS heat FROM g")(lambda s, d: base(s, d).select("map_id", "y", "x", color.heat_index(F.col("v") / 32.0).alias("heat")))
 add("overlay_blend", f"WITH {PIXELS} SELECT map_id, y, x, CAST(floor(0.4::DOUBLE * 200 + 0.6::DOUBLE * b + 0.5) AS INTEGER) AS b FROM px")(lambda s, d: pixels(s, d).select("map_id", "y", "x", color.blended(F.lit(200), F.col("b")).alias("b")))
 VOTE = "CAST(round(round(x * cos(t.theta * (pi() / 180)) + y * sin(t.theta * (pi() / 180)), 6)) AS INTEGER)"
-add("hough_lines", f"WITH {MASK} SELECT map_id, CAST(t.theta AS INTEGER) AS theta, {VOTE} AS rho, count(*) AS votes FROM k, range(180) t(theta) WHERE v % 5 = 0 GROUP BY 1, 2, 3 HAVING count(*) >= 8")(lambda s, d: lines.line_votes(mask(s, d).where("v % 5 = 0"), 8))
-#: All pixels vote; in the SQL beside hough_lines those whose v is a multiple of 5.
-add("hough_lines_whole")(lambda s, d: lines.line_votes(mask(s, d), 8))
+add("hough_lines", f"WITH {MASK} SELECT map_id, CAST(t.theta AS INTEGER) AS theta, {VOTE} AS rho, count(*) AS votes FROM k, range(180) t(theta) GROUP BY 1, 2, 3 HAVING count(*) >= 8")(lambda s, d: lines.line_votes(mask(s, d), 8))
 
 DIMS = ["e1", "e2", "e3"]
 EMB = "e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS e1, embedding[2]::DOUBLE AS e2, embedding[3]::DOUBLE AS e3 FROM embeddings), c AS (SELECT label AS cluster, avg(e1) AS a1, avg(e2) AS a2, avg(e3) AS a3 FROM e GROUP BY 1)"

@@ -144,55 +144,42 @@ add("edit_fold", f"WITH {CONTROLS}, {MARKERS} SELECT map_id, id, kind, CASE WHEN
 )
 
 
-@add("edit_recolor", f"""WITH {POINTS}, {RINGS}, tp AS (SELECT * FROM pts WHERE pt_id % 40 = 0), hit AS (SELECT p.map_id, pt_id, poly_id FROM tp p JOIN edge e ON e.map_id = p.map_id AND (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1),
+@add("edit_recolor", f"""WITH {POINTS}, {RINGS}, hit AS (SELECT p.map_id, pt_id, poly_id FROM pts p JOIN edge e ON e.map_id = p.map_id AND (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1),
 mt AS (SELECT map_id, pt_id, max(poly_id) AS poly_id FROM hit GROUP BY 1, 2), lt AS (SELECT map_id, poly_id, max(pt_id) AS pt_id FROM mt GROUP BY 1, 2)
 SELECT p.map_id, p.poly_id, CASE WHEN lt.pt_id IS NULL THEN class_name WHEN lt.pt_id % 3 = 0 THEN 'forest' ELSE 'water' END AS class_name FROM polys p LEFT JOIN lt USING (map_id, poly_id)""")
-def recolor(s, d):
-    return recoloured(s, d, "pt_id % 40 = 0")
-
-
-def recoloured(s: SparkSession, d: str, some: str = "true") -> DataFrame:
-    taps = points(s, d).where(some).withColumn("class_name", F.when(F.col("pt_id") % 3 == 0, "forest").otherwise("water"))
+def recoloured(s: SparkSession, d: str) -> DataFrame:
+    taps = points(s, d).withColumn("class_name", F.when(F.col("pt_id") % 3 == 0, "forest").otherwise("water"))
     return edits.recoloured(rings(s, d), taps).select("map_id", "poly_id", "class_name")
 
-
-#: Of all taps; the SQL beside edit_recolor has one of 40.
-add("edit_recolor_whole")(recoloured)
-
-
 add("corrected_groups", f"WITH {RINGS} SELECT map_id, class_name, min(poly_id) AS first, count(*) AS n FROM polys GROUP BY 1, 2")(lambda s, d: edits.grouped(rings(s, d)).select("map_id", "class_name", "first", F.size("rings").cast("long").alias("n")))
 add("radius_default", f"WITH {CONTROLS}, dm(map_id) AS (VALUES ('0'), ('2'), ('none')) SELECT dm.map_id, round(coalesce(avg(radius), 0.013 * sqrt(200.0 ** 2 + 150.0 ** 2)), 6) AS radius FROM dm LEFT JOIN ctl USING (map_id) GROUP BY 1")(
     lambda s, d: edits.default_radius(controls(s, d).withColumn("kind", F.lit("control")), s.createDataFrame([("0", 200, 150), ("2", 200, 150), ("none", 200, 150)], "map_id string, w int, h int")).select("map_id", F.round("radius", 6).alias("radius"))
 )
 
 
-def exported(spark: SparkSession, sf_dir: str, some: str = "true") -> tuple[DataFrame, DataFrame]:
+def exported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     maps = rings(spark, sf_dir).select("map_id").distinct().select("map_id", F.concat(F.lit("map"), "map_id", F.lit(".jpg")).alias("source_photo"), F.lit(200).alias("width"), F.lit(150).alias("height"), F.lit(0.5).alias("scale_to_original"), F.when(F.col("map_id") == "2", 12.5).alias("mn_line_spacing_px"), (F.col("map_id") == "1").alias("quad_found"))
     xy = "map_id string, x double, y double"
     routes = spark.createDataFrame([("1", 0, 9.5, 9.5, [{"x": 1, "y": 2}, {"x": 3, "y": 4}]), ("2", 0, 0.0, 0.0, [{"x": 1, "y": 2}])], "map_id string, route_id long, cost double, recomputed_cost double, points array<struct<x:int,y:int>>")
     shares = spark.createDataFrame([("1", 0, "path", 0.75), ("1", 0, "forest", 0.25)], "map_id string, route_id long, class_name string, fraction double")
-    return maps, geojson.features(maps, rings(spark, sf_dir), segments(spark, sf_dir).where(some), controls(spark, sf_dir), spark.createDataFrame([("0", 5.0, 6.0)], xy), spark.createDataFrame([("1", 9.5, 8.0)], xy), routes, shares)
+    return maps, geojson.features(maps, rings(spark, sf_dir), segments(spark, sf_dir), controls(spark, sf_dir), spark.createDataFrame([("0", 5.0, 6.0)], xy), spark.createDataFrame([("1", 9.5, 8.0)], xy), routes, shares)
 
 
-#: The segments that the SQL of geojson_features and geojson_doc has.
-SOME = "seg_id % 50 = 0"
 NUMBER = "regexp_replace(printf('%.6f', round(CAST({} AS DOUBLE), 6)), '\\.?0+$', '')"
 PT = "'[' || " + NUMBER.format("{0}") + " || ',' || " + NUMBER.format("150 - ({1})") + " || ']'"
 FEATURES = f"""{RINGS}, {SEGMENTS}, {CONTROLS}, mp AS (SELECT DISTINCT map_id FROM polys),
 ft AS (
   SELECT map_id, 0 AS layer, CAST(list_position({EXPORT_ORDER}, class_name) AS BIGINT) * 4294967296 + poly_id AS ord,
     '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[' || array_to_string(list_transform(list_concat(ring, [ring[1]]), lambda p: {PT.format('p.x', 'p.y')}), ',') || ']]}},"properties":{{"terrain_class":"' || class_name || '"}}}}' AS feature FROM polys
-  UNION ALL SELECT map_id, CASE role WHEN 'path' THEN 1 ELSE 5 END, seg_id, '{{"type":"Feature","geometry":{{"type":"LineString","coordinates":[' || {PT.format('x1', 'y1')} || ',' || {PT.format('x2', 'y2')} || ']}},"properties":' || CASE role WHEN 'path' THEN '{{"terrain_class":"path"}}' ELSE '{{"role":"course_leg"}}' END || '}}' FROM seg JOIN mp USING (map_id) WHERE seg_id % 50 = 0
+  UNION ALL SELECT map_id, CASE role WHEN 'path' THEN 1 ELSE 5 END, seg_id, '{{"type":"Feature","geometry":{{"type":"LineString","coordinates":[' || {PT.format('x1', 'y1')} || ',' || {PT.format('x2', 'y2')} || ']}},"properties":' || CASE role WHEN 'path' THEN '{{"terrain_class":"path"}}' ELSE '{{"role":"course_leg"}}' END || '}}' FROM seg JOIN mp USING (map_id)
   UNION ALL SELECT map_id, 2, seq, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":' || {PT.format('x', 'y')} || '}},"properties":{{"role":"control","code":' || coalesce('"' || code || '"', 'null') || '}}}}' FROM ctl JOIN mp USING (map_id)
   UNION ALL SELECT '0', 3, 0, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[5,144]}},"properties":{{"role":"start"}}}}'
   UNION ALL SELECT '1', 4, 0, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[9.5,142]}},"properties":{{"role":"finish"}}}}'
   UNION ALL SELECT '1', 6, 0, '{{"type":"Feature","geometry":{{"type":"LineString","coordinates":[[1,148],[3,146]]}},"properties":{{"role":"demo_route","cost":9.5,"recomputed_cost":9.5,"terrain_breakdown":{{"path":0.75,"forest":0.25}}}}}}')"""
-add("geojson_features", f"WITH {FEATURES} SELECT map_id, layer, ord, feature FROM ft")(lambda s, d: exported(s, d, SOME)[1])
-add("geojson_features_whole")(lambda s, d: exported(s, d)[1])
+add("geojson_features", f"WITH {FEATURES} SELECT map_id, layer, ord, feature FROM ft")(lambda s, d: exported(s, d)[1])
 DOCS = f"""WITH {FEATURES}, fl AS (SELECT map_id, string_agg(feature, ',' ORDER BY layer, ord) AS f FROM ft GROUP BY 1)
 SELECT map_id, '{{"type":"FeatureCollection","features":[' || f || '],"properties":{{"source_photo":"map' || map_id || '.jpg","image_width_px":200,"image_height_px":150,"scale_to_original_photo":0.5,"magnetic_north_line_spacing_px":' || CASE map_id WHEN '2' THEN '12.5' ELSE 'null' END || ',"quad_rectification_found":' || CASE map_id WHEN '1' THEN 'true' ELSE 'false' END || '}}}}' AS geojson FROM mp JOIN fl USING (map_id)"""
-add("geojson_doc", DOCS)(lambda s, d: geojson.documents(*exported(s, d, SOME)))
-add("geojson_doc_whole")(lambda s, d: geojson.documents(*exported(s, d)))
+add("geojson_doc", DOCS)(lambda s, d: geojson.documents(*exported(s, d)))
 add("geojson_scale", f"WITH {RINGS} SELECT DISTINCT map_id, 0.5::DOUBLE AS scale FROM polys")(lambda s, d: geojson.documents(*exported(s, d)).select("map_id", geojson.original_scale(F.col("geojson")).alias("scale")))
 
 

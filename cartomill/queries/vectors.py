@@ -91,26 +91,18 @@ def nms(s, d):
     return course.suppressed(controls(s, d))
 
 
-INK = "ink AS (SELECT DISTINCT CAST(l_partkey % 6 AS VARCHAR) AS map_id, CAST(l_orderkey % 160 AS INTEGER) AS y, CAST((l_partkey * 7 + l_linenumber) % 210 AS INTEGER) AS x FROM lineitem WHERE l_orderkey % 5 = 0)"
+INK = "ink AS (SELECT DISTINCT CAST(l_partkey % 6 AS VARCHAR) AS map_id, CAST(l_orderkey % 160 AS INTEGER) AS y, CAST((l_partkey * 7 + l_linenumber) % 210 AS INTEGER) AS x FROM lineitem)"
 
 
 @add("ring_coverage", f"""WITH {CONTROLS}, {INK}, pr AS (SELECT map_id, seq, i, CAST(trunc(round(x + (radius + dr) * cos(2 * pi() * i / 144), 6)) AS INTEGER) AS px, CAST(trunc(round(y + (radius + dr) * sin(2 * pi() * i / 144), 6)) AS INTEGER) AS py FROM ctl, range(144) a(i), range(-3, 4) b(dr)),
 n AS (SELECT pr.map_id, seq, count(DISTINCT i) AS n FROM pr JOIN ink ON ink.map_id = pr.map_id AND ink.x = px AND ink.y = py GROUP BY 1, 2)
 SELECT c.map_id, c.seq, round(coalesce(n, 0) / 144.0::DOUBLE, 6) AS coverage FROM ctl c LEFT JOIN n USING (map_id, seq)""")
 def coverage(s, d):
-    return covered(s, d, "l_orderkey % 5 = 0")
-
-
-def covered(s, d, some="true"):
-    li = table(s, d, "lineitem").where(some)
+    li = table(s, d, "lineitem")
     ink = li.select((F.col("l_partkey") % 6).cast("string").alias("map_id"), (F.col("l_orderkey") % 160).cast("int").alias("y"), ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 210).cast("int").alias("x"))
     return course.ring_coverage(controls(s, d), ink).select("map_id", "seq", F.round("coverage", 6).alias("coverage"))
 
 
-#: With all rows as ink; the SQL beside ring_coverage has one order of 5.
-add("ring_coverage_whole")(covered)
-
-
 FINISH = f"""WITH {CONTROLS.replace("ctl AS", "wide AS")}, ctl AS (SELECT map_id, seq, x % 60 AS x, y % 60 AS y, radius FROM wide), f AS (SELECT a.map_id, a.seq AS a, b.seq AS b, (a.x + b.x) / 2 AS x, (a.y + b.y) / 2 AS y, row_number() OVER (PARTITION BY a.map_id ORDER BY a.seq, b.seq) AS n FROM ctl a JOIN ctl b ON a.map_id = b.map_id AND a.seq < b.seq
   AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 4 * greatest(a.radius, b.radius) AND abs(a.radius - b.radius) > 1.5)"""
 

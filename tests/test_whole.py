@@ -1,4 +1,4 @@
-"""Queries over whole tables that no SQL stands beside, against brute force at the smallest scale."""
+"""Queries over whole tables, against brute force at the smallest scale."""
 
 from __future__ import annotations
 
@@ -40,19 +40,19 @@ def test_all_taps_recolour(spark):
         hit = [i for n, i, _, r in rings if n == m and inside(r, x, y)]
         if hit:
             want[m, max(hit)] = "forest" if pt % 3 == 0 else "water"
-    assert {(r.map_id, r.poly_id): r.class_name for r in run(spark, "edit_recolor_whole")} == want
+    assert {(r.map_id, r.poly_id): r.class_name for r in run(spark, "edit_recolor")} == want
 
 
 def test_all_segments_are_exported(spark):
     maps = {m for (m,) in asked(f"WITH {RINGS} SELECT DISTINCT map_id FROM polys")}
     want = sorted((m, 1 if role == "path" else 5, i, [[x1, 150 - y1], [x2, 150 - y2]]) for m, i, role, x1, y1, x2, y2 in asked(f"WITH {SEGMENTS} SELECT map_id, seg_id, role, x1, y1, x2, y2 FROM seg") if m in maps)
-    rows = run(spark, "geojson_features_whole")
+    rows = run(spark, "geojson_features")
     lines = [r for r in rows if r.layer in (1, 5)]
     assert sorted((r.map_id, r.layer, r.ord, json.loads(r.feature)["geometry"]["coordinates"]) for r in lines) == want
     in_order = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.layer, r.ord)):
         in_order[r.map_id].append(json.loads(r.feature))
-    assert {r.map_id: json.loads(r.geojson)["features"] for r in run(spark, "geojson_doc_whole")} == dict(in_order)
+    assert {r.map_id: json.loads(r.geojson)["features"] for r in run(spark, "geojson_doc")} == dict(in_order)
 
 
 def test_all_rows_are_ink(spark):
@@ -61,7 +61,7 @@ def test_all_rows_are_ink(spark):
     for m, seq, x, y, radius in asked(f"WITH {CONTROLS} SELECT map_id, seq, x, y, radius FROM ctl"):
         at = lambda i, k: (m, int(round(y + (radius + k) * math.sin(2 * math.pi * i / 144), 6)), int(round(x + (radius + k) * math.cos(2 * math.pi * i / 144), 6)))
         want[m, seq] = round(sum(any(at(i, k) in ink for k in range(-3, 4)) for i in range(144)) / 144, 6)
-    assert {(r.map_id, r.seq): r.coverage for r in run(spark, "ring_coverage_whole")} == want
+    assert {(r.map_id, r.seq): r.coverage for r in run(spark, "ring_coverage")} == want
 
 
 def test_all_pixels_vote(spark):
@@ -70,7 +70,7 @@ def test_all_pixels_vote(spark):
         for t in range(180):
             v = round(x * math.cos(t * (math.pi / 180)) + y * math.sin(t * (math.pi / 180)), 6)
             votes[m, t, int(math.copysign(math.floor(abs(v) + 0.5), v))] += 1
-    assert {(r.map_id, r.theta, r.rho): r.votes for r in run(spark, "hough_lines_whole")} == {k: n for k, n in votes.items() if n >= 8}
+    assert {(r.map_id, r.theta, r.rho): r.votes for r in run(spark, "hough_lines")} == {k: n for k, n in votes.items() if n >= 8}
 
 
 def test_all_maps_are_warped(spark):
