@@ -220,11 +220,11 @@ def _long_segments(edge: DataFrame, dims: DataFrame, threshold: int, least: Colu
     return found.where(G.length(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")) >= F.col("_least")).select("map_id", "x1", "y1", "x2", "y2")
 
 
-def path_lines(df: DataFrame, gray: str, exclude: str, gap: float = 8, threshold: int = 25) -> DataFrame:
-    """(map_id, x1, y1, x2, y2) along edges of dark pixels that aren't excluded: 15 pixels, and 1.5 % of the height, or longer."""
+def path_lines(df: DataFrame, gray: str, exclude: str, min_length: float = 15, gap: float = 8, threshold: int = 25) -> DataFrame:
+    """(map_id, x1, y1, x2, y2) along edges of dark pixels that aren't excluded: ``min_length`` pixels, and 1.5 % of the height, or longer."""
     dark = df.select("map_id", "y", "x", F.when((F.col(gray) < 90) & (F.col(exclude) == 0), 255).otherwise(0).alias("dark"))
     edge = edges(dark, "dark", 40, 120).where("edge = 1").select("map_id", "y", "x")
-    return _long_segments(edge, raster.sizes(df), threshold, F.greatest(F.lit(15.0), 0.015 * F.col("h")), gap)
+    return _long_segments(edge, raster.sizes(df), threshold, F.greatest(F.lit(float(min_length)), 0.015 * F.col("h")), gap)
 
 
 def legs(ink: DataFrame, controls: DataFrame, starts: DataFrame) -> DataFrame:
