@@ -25,15 +25,18 @@ def suppressed(circles: DataFrame) -> DataFrame:
 def ring_coverage(circles: DataFrame, ink: DataFrame, samples: int = 144, band: int = 3) -> DataFrame:
     """Adds coverage: share of directions in which some pixel within ``band`` of the circle is inked.
 
-    ink: (map_id, y, x) of inked pixels.
+    ink: (map_id, y, x) of inked pixels.  Equal circles are probed once.
     """
-    probes = circles.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("_d", F.explode(F.sequence(F.lit(-band), F.lit(band))))
+    of = ["map_id", "x", "y", "radius"]
+    steps = F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
+    probes = circles.select(*of).distinct().withColumn("_i", steps).withColumn("_d", F.explode(F.sequence(F.lit(-band), F.lit(band))))
     turn = 2 * F.pi() * F.col("_i") / samples
     at = lambda c, f: F.round(F.col(c) + (F.col("radius") + F.col("_d")) * f(turn), 6).cast("int")
     probes = probes.withColumns({"_px": at("x", F.cos), "_py": at("y", F.sin)})
-    hit = probes.join(ink.select("map_id", F.col("y").alias("_py"), F.col("x").alias("_px")).distinct(), ["map_id", "_py", "_px"])
-    n = hit.groupBy("map_id", "seq").agg((F.countDistinct("_i") / samples).alias("coverage"))
-    return circles.join(n, ["map_id", "seq"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+    # merged, since Spark takes the probes for no more than the circles and would broadcast them
+    hit = probes.hint("merge").join(ink.select("map_id", F.col("y").alias("_py"), F.col("x").alias("_px")).distinct(), ["map_id", "_py", "_px"])
+    n = hit.groupBy(*of).agg((F.countDistinct("_i") / samples).alias("coverage"))
+    return circles.join(n.hint("merge"), of, "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0))).select(*circles.columns, "coverage")
 
 
 def finish(controls: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from cartomill.operators import imaging
+from cartomill import queries
+from cartomill.operators import course, imaging
 
 
 def test_path_lines_of_a_given_length(spark):
@@ -14,3 +16,19 @@ def test_path_lines_of_a_given_length(spark):
     short = imaging.path_lines(df, "v", "no", 5, 3, 6).collect()
     assert short and all(5 <= ((r.x2 - r.x1) ** 2 + (r.y2 - r.y1) ** 2) ** 0.5 < 15 for r in short)
     assert not imaging.path_lines(df, "v", "no", gap=3, threshold=6).collect()
+
+
+@pytest.mark.parametrize("name", ["ring_coverage"])
+def test_exploded_tables_are_not_broadcast(spark, name):
+    """Spark takes an exploded table for no larger than it was, and broadcasts 60 million rows of 60,000 circles."""
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "Cartesian" not in plan
+
+
+def test_equal_circles(spark):
+    """Equal circles are probed once and all get their coverage; a circle without a place has none."""
+    circles = spark.createDataFrame([("m", k, 20.0, 20.0, 8.0) for k in range(3)] + [("m", 3, None, 20.0, 8.0)], "map_id string, seq int, x double, y double, radius double")
+    ink = spark.createDataFrame([("m", y, x) for y in range(40) for x in range(20, 40)], "map_id string, y int, x int")
+    got = course.ring_coverage(circles, ink)
+    rows = {r.seq: round(r.coverage, 2) for r in got.collect()}
+    assert rows[3] == 0.0 and len({rows[k] for k in range(3)}) == 1 and 0.5 < rows[0] < 0.75
