@@ -14,6 +14,8 @@ from cartomill.functions import geometry as G
 from cartomill.schemas import HIT_SLOP, PATH_WIDTH
 
 CELL = 64
+#: Cells along a pixel row, for rings.
+ROW_CELL = 32
 
 
 def edges(polygons: DataFrame) -> DataFrame:
@@ -24,19 +26,38 @@ def edges(polygons: DataFrame) -> DataFrame:
     return rows.select(*[c for c in polygons.columns if c != "ring"], *[p[c].cast("double").alias(f"{c}{k}") for k, p in ((1, a), (2, b)) for c in "xy"])
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """(points' columns, poly_id) of even-odd containment.  points: map_id, pt_id, x, y."""
+def _held(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    """(map_id, x, y, poly_id): each distinct place of the points, and the polygons that hold it by the even-odd rule.
+
+    Rings are cut by pixel rows and by cells along them; a place meets only the edges of its own row.
+    """
     e = edges(polygons).where("y1 <> y2")
     rows = F.sequence(F.floor(F.least("y1", "y2")), F.floor(F.greatest("y1", "y2")))
-    e = e.select("map_id", "poly_id", "x1", "y1", "x2", "y2", F.explode(rows).alias("_row"))
-    met = points.withColumn("_row", F.floor("y")).join(e, ["map_id", "_row"])
-    cross = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    return met.where(cross).groupBy(*points.columns, "poly_id").agg(F.count("*").alias("n")).where("n % 2 = 1").drop("n")
+    e = e.select("map_id", "poly_id", F.explode(rows).alias("_row"), F.struct("x1", "y1", "x2", "y2").alias("_e"))
+    # a pixel more on both sides: rounded crossings may lie beside their edges
+    ends = F.floor(F.min(F.least("_e.x1", "_e.x2"))) - 1, F.floor(F.max(F.greatest("_e.x1", "_e.x2"))) + 1
+    cut = e.groupBy("map_id", "poly_id", "_row").agg(F.collect_list("_e").alias("_edges"), ends[0].alias("_lo"), ends[1].alias("_hi"))
+    cut = cut.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("_lo") / ROW_CELL), F.floor(F.col("_hi") / ROW_CELL))))
+    places = points.select("map_id", "x", "y").distinct().withColumns({"_row": F.floor("y"), "_cx": F.floor(F.floor("x") / ROW_CELL)})
+    # merged, since Spark takes the cut rings for no larger than the rings and would broadcast them
+    met = places.join(cut.hint("merge"), ["map_id", "_row", "_cx"]).where(F.floor("x").between(F.col("_lo"), F.col("_hi")))
+    right = lambda e: ((e["y1"] > F.col("y")) != (e["y2"] > F.col("y"))) & (F.col("x") < (e["x2"] - e["x1"]) * (F.col("y") - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
+    return met.where(F.size(F.filter("_edges", right)) % 2 == 1).select("map_id", "x", "y", "poly_id")
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    """(points' columns, poly_id) of even-odd containment.  points: map_id, pt_id, x, y."""
+    held = _held(points, polygons).groupBy("map_id", "x", "y").agg(F.collect_list("poly_id").alias("_ids"))
+    return points.join(held.hint("merge"), ["map_id", "x", "y"]).select(*points.columns, F.explode("_ids").alias("poly_id"))
+
+
+def _tops(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    return _held(points, polygons).groupBy("map_id", "x", "y").agg(F.max("poly_id").alias("poly_id"))
 
 
 def topmost(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """(map_id, pt_id, poly_id): the last of the polygons that hold the point."""
-    return points_in_polygons(points, polygons).groupBy("map_id", "pt_id").agg(F.max("poly_id").alias("poly_id"))
+    return points.join(_tops(points, polygons).hint("merge"), ["map_id", "x", "y"]).groupBy("map_id", "pt_id").agg(F.max("poly_id").alias("poly_id"))
 
 
 def nearest_marker(points: DataFrame, markers: DataFrame, slop: float = HIT_SLOP) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartomill import queries
-from cartomill.operators import course, imaging
+from cartomill.operators import course, imaging, vector
 
 
 def test_path_lines_of_a_given_length(spark):
@@ -18,7 +18,24 @@ def test_path_lines_of_a_given_length(spark):
     assert not imaging.path_lines(df, "v", "no", gap=3, threshold=6).collect()
 
 
-@pytest.mark.parametrize("name", ["ring_coverage"])
+RINGS = "map_id string, poly_id long, class_name string, ring array<struct<x:double,y:double>>"
+POINTS = "map_id string, pt_id long, x double, y double"
+
+
+def square(i, x, y, side):
+    return ("m", i, "rock", [(float(a), float(b)) for a, b in ((x, y), (x + side, y), (x + side, y + side), (x, y + side))])
+
+
+def test_equal_points_are_all_held(spark):
+    """Rows that are equal in all columns don't cancel each other out, and a long ring is met in each of its cells."""
+    p = spark.createDataFrame([("m", 1, 5.5, 5.5)] * 2 + [("m", 2, 150.25, 5.5), ("m", 3, 300.0, 5.5), ("m", 4, -0.0, 5.5), ("m", 5, None, 5.5)], POINTS)
+    rings = spark.createDataFrame([square(1, 0, 0, 10), square(2, -40, -40, 340), square(3, 5, 5, 1)], RINGS)
+    got = sorted((r.pt_id, r.poly_id) for r in vector.points_in_polygons(p, rings).collect())
+    assert got == [(1, 1), (1, 1), (1, 2), (1, 2), (1, 3), (1, 3), (2, 2), (4, 1), (4, 2)]
+    assert sorted((r.pt_id, r.poly_id) for r in vector.topmost(p, rings).collect()) == [(1, 3), (2, 2), (4, 2)]
+
+
+@pytest.mark.parametrize("name", ["pip_join", "ring_coverage", "top_polygon"])
 def test_exploded_tables_are_not_broadcast(spark, name):
     """Spark takes an exploded table for no larger than it was, and broadcasts 60 million rows of 60,000 circles."""
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
