@@ -61,13 +61,19 @@ def topmost(points: DataFrame, polygons: DataFrame) -> DataFrame:
 
 
 def nearest_marker(points: DataFrame, markers: DataFrame, slop: float = HIT_SLOP) -> DataFrame:
-    """(map_id, pt_id, id, d) of the nearest marker within its radius + slop; the first of equals."""
+    """(map_id, pt_id, id, d) of the nearest marker within its radius + slop; the first of equals.
+
+    Distinct places meet distinct circles.
+    """
     reach = F.col("radius") + slop
     span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / CELL), F.floor((F.col(c) + reach) / CELL)))
-    cells = markers.select("map_id", "id", F.col("x").alias("mx"), F.col("y").alias("my"), "radius", span("x").alias("_cx"), F.col("y")).withColumn("_cy", F.explode(F.sequence(F.floor((F.col("y") - reach) / CELL), F.floor((F.col("y") + reach) / CELL)))).drop("y")
-    met = points.withColumns({"_cx": F.floor(F.col("x") / CELL), "_cy": F.floor(F.col("y") / CELL)}).join(cells, ["map_id", "_cx", "_cy"])
+    circles = markers.groupBy("map_id", F.col("x").alias("mx"), F.col("y").alias("my"), "radius").agg(F.min("id").alias("id"))
+    cells = circles.withColumn("_cx", span("mx")).withColumn("_cy", span("my"))
+    places = points.select("map_id", "x", "y").distinct().withColumns({"_cx": F.floor(F.col("x") / CELL), "_cy": F.floor(F.col("y") / CELL)})
+    met = places.join(cells.hint("merge"), ["map_id", "_cx", "_cy"])
     met = met.withColumn("d", F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my"))).where(F.col("d") <= reach)
-    return met.groupBy("map_id", "pt_id").agg(F.min(F.struct("d", "id")).alias("m")).select("map_id", "pt_id", F.col("m.id").alias("id"), F.col("m.d").alias("d"))
+    best = met.groupBy("map_id", "x", "y").agg(F.min(F.struct("d", "id")).alias("m"))
+    return points.join(best.hint("merge"), ["map_id", "x", "y"]).groupBy("map_id", "pt_id").agg(F.min("m").alias("m")).select("map_id", "pt_id", F.col("m.id").alias("id"), F.col("m.d").alias("d"))
 
 
 def filled(polygons: DataFrame, key: list[str], boundary: bool = True) -> DataFrame:

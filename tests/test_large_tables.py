@@ -35,13 +35,21 @@ def test_equal_points_are_all_held(spark):
     assert sorted((r.pt_id, r.poly_id) for r in vector.topmost(p, rings).collect()) == [(1, 3), (2, 2), (4, 2)]
 
 
-@pytest.mark.parametrize("name", ["pip_join", "ring_coverage", "top_polygon"])
+@pytest.mark.parametrize("name", ["nearest_marker", "pip_join", "ring_coverage", "top_polygon"])
 def test_exploded_tables_are_not_broadcast(spark, name):
     """Spark takes an exploded table for no larger than it was, and broadcasts 60 million rows of 60,000 circles."""
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan and "Cartesian" not in plan
 
 
+def test_equal_markers(spark):
+    """Equal circles count once, with the first id; of equal distances the first id wins."""
+    p = spark.createDataFrame([("m", 1, 5.5, 5.5), ("m", 2, 5.5, 5.5), ("m", 3, 500.0, 5.5)], POINTS)
+    markers = spark.createDataFrame([("m", 7, 5.5, 8.5, 2.0), ("m", 4, 5.5, 8.5, 2.0), ("m", 5, 5.5, 2.5, 3.0)], "map_id string, id int, x double, y double, radius double")
+    got = vector.nearest_marker(p, markers)
+    assert sorted(tuple(r) for r in got.collect()) == [("m", 1, 4, 3.0), ("m", 2, 4, 3.0)]
+
+
 def test_equal_circles(spark):
     """Equal circles are probed once and all get their coverage; a circle without a place has none."""
     circles = spark.createDataFrame([("m", k, 20.0, 20.0, 8.0) for k in range(3)] + [("m", 3, None, 20.0, 8.0)], "map_id string, seq int, x double, y double, radius double")
