@@ -46,8 +46,7 @@ def deleted(markers: DataFrame, ids: DataFrame) -> DataFrame:
 
 def recoloured(polygons: DataFrame, taps: DataFrame) -> DataFrame:
     """taps: (map_id, pt_id, x, y, class_name): the topmost polygon under each tap gets its class; later taps win."""
-    hit = vector.topmost(taps.select("map_id", "pt_id", "x", "y"), polygons).join(taps.select("map_id", "pt_id", F.col("class_name").alias("_class")), ["map_id", "pt_id"])
-    last = hit.groupBy("map_id", "poly_id").agg(F.max_by("_class", "pt_id").alias("_class"))
+    last = vector.last_taps(taps.select("map_id", "pt_id", "x", "y", F.col("class_name").alias("_class")), polygons, "_class")
     return polygons.join(last, ["map_id", "poly_id"], "left").withColumn("class_name", F.coalesce("_class", "class_name")).select(polygons.columns)
 
 

@@ -60,6 +60,13 @@ def topmost(points: DataFrame, polygons: DataFrame) -> DataFrame:
     return points.join(_tops(points, polygons).hint("merge"), ["map_id", "x", "y"]).groupBy("map_id", "pt_id").agg(F.max("poly_id").alias("poly_id"))
 
 
+def last_taps(taps: DataFrame, polygons: DataFrame, value: str) -> DataFrame:
+    """(map_id, poly_id, value): of the last tap, by pt_id, whose topmost polygon it is.  taps: (map_id, pt_id, x, y, value)."""
+    last = taps.where("pt_id is not null").groupBy("map_id", "x", "y").agg(F.max(F.struct("pt_id", value)).alias("_t"))
+    met = last.join(_tops(taps, polygons).hint("merge"), ["map_id", "x", "y"])
+    return met.groupBy("map_id", "poly_id").agg(F.max("_t").alias("_t")).select("map_id", "poly_id", F.col("_t")[value].alias(value))
+
+
 def nearest_marker(points: DataFrame, markers: DataFrame, slop: float = HIT_SLOP) -> DataFrame:
     """(map_id, pt_id, id, d) of the nearest marker within its radius + slop; the first of equals.
 

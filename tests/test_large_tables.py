@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartomill import queries
-from cartomill.operators import course, imaging, vector
+from cartomill.operators import course, edits, imaging, vector
 
 
 def test_path_lines_of_a_given_length(spark):
@@ -35,7 +35,7 @@ def test_equal_points_are_all_held(spark):
     assert sorted((r.pt_id, r.poly_id) for r in vector.topmost(p, rings).collect()) == [(1, 3), (2, 2), (4, 2)]
 
 
-@pytest.mark.parametrize("name", ["nearest_marker", "pip_join", "ring_coverage", "top_polygon"])
+@pytest.mark.parametrize("name", ["edit_recolor", "nearest_marker", "pip_join", "ring_coverage", "top_polygon"])
 def test_exploded_tables_are_not_broadcast(spark, name):
     """Spark takes an exploded table for no larger than it was, and broadcasts 60 million rows of 60,000 circles."""
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
@@ -50,6 +50,14 @@ def test_equal_markers(spark):
     assert sorted(tuple(r) for r in got.collect()) == [("m", 1, 4, 3.0), ("m", 2, 4, 3.0)]
 
 
+def test_last_tap_of_a_place(spark):
+    """Taps of one place and of several, the last by id wins."""
+    taps = spark.createDataFrame([("m", 1, 5.5, 5.5, "water"), ("m", 9, 5.5, 5.5, "forest"), ("m", 4, 6.5, 5.5, "marsh"), ("m", 3, 25.5, 5.5, "marsh"), ("m", 8, 50.5, 5.5, "marsh")], POINTS + ", class_name string")
+    rings = spark.createDataFrame([square(1, 0, 0, 10), square(2, 20, 0, 10), square(3, 80, 0, 10)], RINGS)
+    got = edits.recoloured(rings, taps)
+    assert sorted((r.poly_id, r.class_name) for r in got.collect()) == [(1, "forest"), (2, "marsh"), (3, "rock")]
+
+
 def test_equal_circles(spark):
     """Equal circles are probed once and all get their coverage; a circle without a place has none."""
     circles = spark.createDataFrame([("m", k, 20.0, 20.0, 8.0) for k in range(3)] + [("m", 3, None, 20.0, 8.0)], "map_id string, seq int, x double, y double, radius double")
