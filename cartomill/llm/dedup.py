@@ -81,9 +81,15 @@ def weights(texts: DataFrame) -> Weights:
     sums = written(texts.mapInArrow(counted, schema).repartition(SHARDS, "shard").mapInArrow(summed, schema), "counters")
     total = sums.agg(F.sum("docs")).first()[0] or 0
     floor = min(1.0, max(FREQUENT, 2 / max(1, total)))
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = [np.packbits(np.frombuffer(n, np.int64) > floor * total).tobytes() for n in b.column("n").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(bits, pa.binary())], ["shard", "bits"])
+
     may = np.zeros(COUNTERS, bool)
-    for r in sums.collect():
-        may[r["shard"] * span : (r["shard"] + 1) * span] = np.frombuffer(r["n"], np.int64) > floor * total
+    for r in sums.select("shard", "n").mapInArrow(passed, "shard long, bits binary").collect():
+        may[r["shard"] * span : (r["shard"] + 1) * span] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))
     discard(sums)
     if not may.any():
         return Weights(np.zeros(0, np.uint64), np.zeros(0), floor)
